@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition, winnow
+from . import repetition, setsketch, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_winnowing, op5_repetition_coverage)}
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.linked(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_winnowing, op5_repetition_coverage, op6_setsketch)}
 SQL: dict[str, str] = {}
