@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repetition, setsketch, winnow
+from . import recompress, repetition, setsketch, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,9 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.linked(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_winnowing, op5_repetition_coverage, op6_setsketch)}
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.deduplicated(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_winnowing, op5_repetition_coverage, op6_setsketch, op10_recompression)}
 SQL: dict[str, str] = {}
