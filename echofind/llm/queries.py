@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import recompress, repetition, setsketch, winnow
+from . import nnls_packing, recompress, repetition, setsketch, warc_store, winnow
+from .scratch import folder, remove
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +31,25 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_winnowing, op5_repetition_coverage, op6_setsketch, op10_recompression)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc_store.write_archive(_table(spark, sf_dir, "pages"), path)
+    atexit.register(remove, spark, path)
+    return warc_store.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.checksums(nnls_packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_warc, op4_winnowing, op5_repetition_coverage, op6_setsketch, op8_nnls_packing, op10_recompression)
+}
 SQL: dict[str, str] = {}
