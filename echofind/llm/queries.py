@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nnls_packing, recompress, repetition, setsketch, warc_store, winnow
+from . import html_blocks, nnls_packing, pii_semicrf, recompress, repetition, secret_grammar, setsketch, warc_store, winnow
 from .scratch import folder, remove
 
 
@@ -31,6 +31,18 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.deduplicated(_table(spark, sf_dir, "documents"))
 
 
+def op1_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op2_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_semicrf.find_personal(_table(spark, sf_dir, "documents"))
+
+
+def op7_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_grammar.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc_store.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -50,6 +62,16 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_warc, op4_winnowing, op5_repetition_coverage, op6_setsketch, op8_nnls_packing, op10_recompression)
+    for f in (
+        op1_text_blocks,
+        op2_semi_markov,
+        op3_warc,
+        op4_winnowing,
+        op5_repetition_coverage,
+        op6_setsketch,
+        op7_grammar_inference,
+        op8_nnls_packing,
+        op10_recompression,
+    )
 }
 SQL: dict[str, str] = {}
