@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, nnls_packing, pii_semicrf, recompress, repetition, secret_grammar, setsketch, warc_store, winnow
+from . import html_blocks, importance, nnls_packing, pii_semicrf, recompress, repetition, secret_grammar, setsketch, warc_store, winnow
 from .scratch import folder, remove
 
 
@@ -43,6 +43,10 @@ def op7_grammar_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_grammar.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc_store.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -71,6 +75,7 @@ QUERIES = {
         op6_setsketch,
         op7_grammar_inference,
         op8_nnls_packing,
+        op9_importance_resampling,
         op10_recompression,
     )
 }

@@ -16,10 +16,12 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from math import log, log2, sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .spans import Span, free, scanned
@@ -243,16 +245,29 @@ def find_secrets(docs: DataFrame, model: Model | None = None, min_bits: float =
 
 
 def masked(text: str | None, model: Model, min_bits: float = MIN_BITS) -> str | None:
-    """The text with every secret span in place of which stands ``<kind>``; overlapping spans are masked as one."""
+    """The text with ``<kind>`` in place of every secret; of an assignment only the value goes, overlapping spans go as one."""
     if not text:
         return text
     base, more = scan(text, model, min_bits)
     if not base and not more:
         return text
-    out, at, open_to = [], 0, -1
-    for a, b, k in sorted(base + more):
-        if a >= open_to:
-            out += [text[max(at, open_to) : a] if open_to >= 0 else text[:a], f"<{k}>"]
-        open_to = max(open_to, b)
-        at = open_to
-    return "".join(out) + text[open_to:]
+    spans = [(ASSIGN.match(text, a).start(2), b, k) if k == "assign" else (a, b, k) for a, b, k in base + more]
+    out, done = [], 0
+    for a, b, k in sorted(spans):
+        if a >= done:
+            out += [text[done:a], f"<{k}>"]
+        done = max(done, b)
+    return "".join(out) + text[done:]
+
+
+def redacted(docs: DataFrame, model: Model | None = None, min_bits: float = MIN_BITS) -> DataFrame:
+    """All rows and columns, the secrets in ``text`` masked."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [masked(t, shared.value, min_bits) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(mask, docs.schema)
