@@ -19,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 REVISIT_BYTES = 1000
+#: Copies up to this many are named to all tasks; more are joined.
+BROADCAST_ROWS = 200_000
 VERSION, BREAK = "WARC/1.1", "\r\n"
 #: Capture time of records whose pages carry none.
 DATE = "1970-01-01T00:00:00Z"
@@ -46,8 +50,11 @@ def _records(pages: DataFrame) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Write ``pages`` (page_id, url, html) as an archive at ``path``."""
     records = _records(pages)
-    same = F.assert_true((F.min("sha1") == F.max("sha1")) & (F.min("bytes") == F.max("bytes")), F.lit("payloads of one digest differ"))
-    groups = records.groupBy("sha256").agg(F.max("page_id").alias("holder"), same.alias("ok")).where("ok is null").drop("ok")
+    second = F.xxhash64("payload")
+    same = (F.min(second) == F.max(second)) & (F.min("bytes") == F.max("bytes"))
+    groups = records.groupBy("sha256").agg(F.max("page_id").alias("holder"), same.alias("same"))
+    checked = F.when(~F.col("same"), F.raise_error(F.lit("payloads of one digest differ"))).otherwise(F.col("sha256"))
+    groups = stored(groups.select(checked.alias("sha256"), "holder"), "warc-groups")
 
     placed = records.drop("payload").join(groups, "sha256")
     revisit = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("holder"))
@@ -66,12 +73,19 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
         _line("Content-Length", F.when(revisit, 0).otherwise(F.col("bytes"))),
         F.lit(BREAK),
     )
-    placed.select(header.alias("header"), "sha256").write.parquet(f"{path}/headers")
-
-    # the holder's row brings the bytes; a group of copies has one holder, so its rows spread over the tasks
-    holders = groups.select("sha256", F.col("holder").alias("page_id"))
-    once = records.alias("r").join(holders.alias("h"), (F.col("r.sha256") == F.col("h.sha256")) & F.col("r.page_id").eqNullSafe(F.col("h.page_id")))
-    once.select("r.sha256", "r.page_id", "r.payload").dropDuplicates(["sha256", "page_id"]).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    placed.select(header.alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
+
+    # the holder's row brings the bytes
+    narrow = records.select("page_id", "sha256")
+    copies = narrow.join(groups, "sha256").where(~F.col("page_id").eqNullSafe(F.col("holder"))).select("page_id", "sha256").distinct()
+    repeats = pages.groupBy("page_id").count().where("count > 1").limit(1).count()
+    if not repeats and copies.count() <= BROADCAST_ROWS:
+        named = copies.select(F.col("page_id").alias("p"), F.col("sha256").alias("s"))
+        once = records.join(F.broadcast(named), (F.col("sha256") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")), "left_anti")
+    else:  # a group of copies has one holder, so its rows spread over the tasks
+        holders = groups.select(F.col("sha256").alias("s"), F.col("holder").alias("p"))
+        once = records.join(holders, (F.col("sha256") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi").dropDuplicates(["sha256", "page_id"])
+    once.select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _field(name: str) -> Column:
