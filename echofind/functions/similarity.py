@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import tokens as T
 
@@ -75,11 +76,14 @@ def lcs_length(a, b, most: int = LCS_TOKENS) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
-def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the common length, over at most ``LCS_TOKENS`` of each side, over both whole lengths."""
+def _lcs_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
         x, y = list(x), list(y)
         out.append(1.0 if not x and not y else 2.0 * lcs_length(x, y) / (len(x) + len(y)))
-    return pd.Series(out)
+    return pd.Series(out, dtype=float)
+
+
+def lcs_ratio(a: str, b: str) -> Column:
+    """Twice the common length, over at most ``LCS_TOKENS`` of each side, over both whole lengths."""
+    return F.pandas_udf(_lcs_ratios, DoubleType())(a, b)

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # Category numbers and the words and marks that belong to them.
 KEYWORD, IDENTIFIER, OPERATOR, LITERAL, MODIFIER, TYPE = 0, 1, 2, 3, 4, 5
@@ -85,7 +86,8 @@ def bigrams(types: Column, parents: Column) -> Column:
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
-SYNTAX = "token_ids array<int>, types array<int>, depths array<int>, parents array<int>"
+_INTS = ArrayType(IntegerType())
+SYNTAX = StructType([StructField(n, _INTS) for n in ("token_ids", "types", "depths", "parents")])
 _LEX = re.compile(JAVA.replace(r"\p{L}\p{N}_$", r"\w$").replace(r"\p{L}_$", r"^\W\d"))
 _KINDS = {w: KEYWORD for w in KEYWORDS} | {w: MODIFIER for w in MODIFIERS} | dict.fromkeys(TRUTH, LITERAL) | dict.fromkeys(SEPARATORS, SEPARATOR)
 _CLOSERS = {"(": ")", "[": "]", "{": "}"}
@@ -135,6 +137,10 @@ def parse(source: str) -> dict[str, list]:
     return {"token_ids": leaves, "types": types, "depths": depths, "parents": parents}
 
 
-@F.pandas_udf(SYNTAX)
-def syntax(source: pd.Series) -> pd.DataFrame:
+def _parsed(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(s or "") for s in source], columns=["token_ids", "types", "depths", "parents"])
+
+
+def syntax(source: Column) -> Column:
+    """The light tree of every text."""
+    return F.pandas_udf(_parsed, SYNTAX)(source)
