@@ -752,3 +752,97 @@ def lsh_ablation(spark, sf_dir):
     first = F.array_position(F.zip_with("bands1", "bands2", lambda x, y: x == y), True)
     hit = [F.count(F.when((first > 0) & (first <= b), 1)).alias(str(b)) for b in (4, 8, 16)]
     return full.agg(*hit).select(F.stack(F.lit(3), *(x for b in (4, 8, 16) for x in (F.lit(b), F.col(f"`{b}`")))).alias("bands", "candidates"))
+
+
+# --- neighbours and models ---------------------------------------------------------------------
+
+
+@query(
+    "with v as (select vec_id as id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null), d as (select q.id as query_id, v.id, list_distance(q.e, v.e) as distance from v q, v where q.id % 50 = 0 and v.id <> q.id), r as (select *, row_number() over (partition by query_id order by distance, id) as place from d) select query_id, place, id, round(distance, 6) as distance from r where place <= 7"
+)
+def knn(spark, sf_dir):
+    """The seven nearest vectors of every query, the rows whose id is divisible by 50."""
+    from ..operators.neighbours import nearest
+
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(own.where("id % 50 = 0"), own, 7).withColumn("distance", F.round("distance", 6))
+
+
+QUALITY = ["words", "distinct_share", "mean_length", "mark_share", "upper_share", "digit_share"]
+
+
+def quality_features(spark, sf_dir) -> DataFrame:
+    """Labelled documents with measures of their text, and a fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    n, chars = F.greatest(F.size("w"), F.lit(1)), F.greatest(F.length("text"), F.lit(1))
+    kept = lambda p: (F.length("text") - F.length(F.regexp_replace("text", p, ""))) / chars
+    own = docs.withColumn("w", words).select(
+        "doc_id", F.size("w").cast("double").alias("words"), (F.size(F.array_distinct("w")) / n).alias("distinct_share"), (chars / n).alias("mean_length"),
+        kept(r"[^\p{L}\p{N}\s]").alias("mark_share"), kept(r"\p{Lu}").alias("upper_share"), kept("[0-9]").alias("digit_share"),
+    )
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return splits.folds(own.join(labels.where("label is not null"), "doc_id"), "label", ["doc_id"], 3)
+
+
+@query()
+def model_cross_validation(spark, sf_dir):
+    """Three-fold metrics of the four models, with few trees."""
+    from . import models
+
+    return models.cross_validated(quality_features(spark, sf_dir).cache(), QUALITY, k=3, trees=5)
+
+
+@query()
+def model_elimination(spark, sf_dir):
+    from . import models
+
+    rows = models.eliminated(quality_features(spark, sf_dir).cache(), QUALITY, (2, 4, 6), k=3, trees=5)
+    return spark.createDataFrame([(r["n"], ",".join(r["features"]), r["f1"], r["accuracy"]) for r in rows], "n long, features string, f1 double, accuracy double")
+
+
+@query()
+def model_calibration(spark, sf_dir):
+    from . import models
+
+    own = quality_features(spark, sf_dir).cache()
+    model = models.fitted(own, QUALITY, "logistic")
+    return models.calibration_report(models.scored(model, own, QUALITY).select("fold", "label", "score"), 3)
+
+
+@query()
+def model_robustness(spark, sf_dir):
+    from . import analysis, models
+
+    own = quality_features(spark, sf_dir).cache()
+    model = models.fitted(own.where("fold <> 0"), QUALITY, "forest", trees=10)
+    return analysis.robustness(model, own.where("fold = 0"), QUALITY, "noise", (0.1, 0.2))
+
+
+@query()
+def model_importance_stability(spark, sf_dir):
+    from . import analysis
+
+    return analysis.importance_stability(quality_features(spark, sf_dir).cache(), QUALITY, k=3, trees=10)
+
+
+@query()
+def feature_ablation(spark, sf_dir):
+    from . import analysis
+
+    return analysis.one_feature_out(quality_features(spark, sf_dir).cache(), QUALITY[:3], k=3, trees=5)
+
+
+@query()
+def detection(spark, sf_dir):
+    """The detection plan over pairs of neighbouring turns, the model trained on labels by rule."""
+    from . import detection as plan
+    from . import models
+
+    corpus = turns(spark, sf_dir)
+    features = _features(spark, sf_dir, False)
+    names = [c for c in features.columns if c not in ("id1", "id2")]
+    train = pair_features.sanitized(features, names).withColumn("label", (F.col("lex_lcs_ratio") >= 0.75).cast("int"))
+    model = models.fitted(train, names, "forest", trees=5)
+    pairs = train.select("id1", "id2", (F.col("label") * 3).alias("label"))
+    return plan.detected(pairs, corpus, model, names)
