@@ -17,6 +17,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -128,81 +131,66 @@ def fit(histogram: np.ndarray, window: int = WINDOW) -> Fit:
     return Fit(table[np.lexsort((table[:, 1], table[:, 0]))], sequence + -(-at // window))
 
 
-class Encoder:
-    """Token ids of texts; ids of words between single blanks are remembered, up to a bound."""
+class Vocabulary(NamedTuple):
+    """Files of one byte-level BPE vocabulary.
+
+    ``tokenizer`` is the tokenizer that defines the ids.  ``ranks`` and ``pattern``, if given,
+    are its merge ranks and the rule that cuts words, for a faster encoder of plain texts.
+    """
+
+    tokenizer: str
+    ranks: str | None = None
+    pattern: str | None = None
+
 
-    #: Words remembered per task process.
-    REMEMBERED = 300_000
+class Encoder:
+    """Token ids of texts.
 
-    def __init__(self, path: str):
-        import os
-        import re
+    The faster encoder takes texts of Latin letters, ASCII and single kinds of blanks, for which
+    the letter and blank classes of both libraries agree, and without special tokens.
+    """
 
+    def __init__(self, vocabulary: Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        #: A text in which a blank is not single and inside, or whose blanks an engine might see otherwise.
-        self.odd = re.compile(r"[^\x01-\x7eÀ-ɏ]|[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z").search
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint16)], [0]
-        self.flat = (np.zeros(0, np.uint16), np.zeros(1, np.int64))
-
-    def _learn(self, new: list[str]) -> None:
-        for e in self.tokenizer.encode_batch(new, add_special_tokens=False):
-            self.ids.append(np.array(e.ids, np.uint16))
-            self.ends.append(self.ends[-1] + len(e.ids))
-        for word in new:
-            self.place[word] = len(self.place)
-        flat = np.concatenate([self.flat[0], *self.ids])
-        self.ids = []
-        self.flat = (flat, np.array(self.ends, np.int64))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, ``END`` after them."""
-        if len(self.place) > self.REMEMBERED:
-            self._forget()
-        easy = [not self.odd(t) for t in texts]
-        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if e and t else [] for t, e in zip(texts, easy, strict=True)]
-        known = self.place
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
-        if new:
-            self._learn(new)
-        flat, ends = self.flat
-        out = []
-        for text, ok, words in zip(texts, easy, cut, strict=True):
-            if ok:
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                low, size = ends[at], ends[at + 1] - ends[at]
-                stop = np.cumsum(size)
-                total = int(stop[-1]) if len(stop) else 0
-                ids = flat[np.arange(total) + np.repeat(low - stop + size, size)]
-            else:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
-            out.append(np.append(ids, np.uint16(END)))
-        return out
+        self.tokenizer = Tokenizer.from_file(vocabulary.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = None
+        if vocabulary.ranks:
+            import tiktoken
+
+            with open(vocabulary.ranks, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.plain = tiktoken.Encoding("plain", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.odd = re.compile("[^\t\n -~\u00a1-\u00ac\u00ae-\u024f]").search
+
+    def __call__(self, text: str) -> np.ndarray:
+        """The ids of a text, ``END`` after them."""
+        if self.plain and not self.odd(text) and not any(s in text for s in self.special):
+            ids = self.plain.encode_to_numpy(text, disallowed_special=())
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.append(np.asarray(ids, np.uint16), np.uint16(END))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[Vocabulary, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(vocabulary: Vocabulary) -> Encoder:
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
-    encode, part = encoder(path), TaskContext.get().partitionId()
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, window: int) -> Iterator[pa.RecordBatch]:
+    encode, part = encoder(vocabulary), TaskContext.get().partitionId()
     seen, full = np.zeros(window + 1, np.int64), 0
     for batch in batches:
         for texts in K.chunks(batch.column(1), 1 << 20):
             n = len(texts.offsets) - 1
             column = batch.column(1).slice(texts.rows.start, n)
-            ids = encode([t or "" for t in column.to_pylist()])
+            ids = [encode(t or "") for t in column.to_pylist()]
             sizes = np.array([len(i) for i in ids], np.int64)
             ranks, fulls = np.zeros(n, np.int64), np.zeros(n, np.int64)
             for k, size in enumerate(sizes.tolist()):
@@ -251,11 +239,11 @@ def _placed(batches: Iterator[pa.RecordBatch], plan: Fit, window: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW) -> DataFrame:
     """A row per piece: ``doc_id, start, length, ids`` (little-endian unsigned 16-bit), ``doc_tokens, sequence_id, offset``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, part int, tokens long, rest int, rest_rank long, full_rank long, ids binary"
-    read = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encoded(it, tokenizer_path, window), schema), "tokens")
+    read = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encoded(it, vocabulary, window), schema), "tokens")
     each = read.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("tokens") / window)).alias("full"))
     each = stored(each, "lengths")
     histogram = np.zeros(window + 1, np.int64)
