@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, importance, nnls_packing, pii_semicrf, recompress, repetition, secret_grammar, setsketch, warc_store, winnow
+from . import html_blocks, importance, nnls_packing, pii_semicrf, recompress, repetition, secret_grammar, setsketch, sql, warc_store, winnow
 from .scratch import folder, remove
 
 
@@ -20,7 +20,7 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality(_table(spark, sf_dir, "documents"))
+    return repetition.quality(_table(spark, sf_dir, "documents")).drop("dup_gram_share", "dup_line_share")
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +54,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
+def vocabulary() -> nnls_packing.Vocabulary:
+    import public_tokenizers as public
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return nnls_packing.Vocabulary(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nnls_packing.checksums(nnls_packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path()))
+    return nnls_packing.checksums(nnls_packing.packed(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
 QUERIES = {
@@ -79,4 +79,10 @@ QUERIES = {
         op10_recompression,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": sql.WARC,
+    "op4_winnowing": sql.WINNOWING,
+    "op5_repetition_coverage": sql.REPETITION,
+    "op6_setsketch": sql.SETSKETCH,
+    "op10_recompression": sql.RECOMPRESSION,
+}
