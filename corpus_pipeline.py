@@ -6,10 +6,10 @@ rereads for the next; all but the last keep the columns of their input.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from echofind.llm import nnls_packing, repetition, secret_grammar, setsketch, winnow
+from echofind.llm.queries import vocabulary
 from echofind.llm.scratch import stored
 
 
@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the token sequences that the texts are packed into."""
-    return nnls_packing.checksums(nnls_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return nnls_packing.checksums(nnls_packing.packed(docs, vocabulary()))
 
 
 STAGES = [
