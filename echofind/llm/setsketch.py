@@ -12,9 +12,10 @@ Groups are linked without pairing their members with each other:
 
 1. Equal sets fall together first, by a 128-bit content hash.
 2. Every set is compared with the smallest set it shares a band with, then, in bands that
-   still hold several components, with the smallest and the largest member.
-3. What is left in such bands - members of different components only - is compared pair by
-   pair, so no link is lost between what the bands bring together.
+   still hold several components, with the hub: the member that meets the most others.
+3. What is left in such bands is compared block by block, on registers held as matrices, and
+   near pairs are confirmed in place; only links become rows.  No link is lost between what
+   bands bring together.
 
 At a similarity of 0.75, 40 bands of four registers miss a pair with a probability of 3e-7.
 
@@ -41,8 +42,10 @@ WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: How far the estimate may lie below the bound for a pair to be verified: six standard errors.
-SLACK = 0.2
+#: How far the estimate may lie below the bound for a pair to be verified: over four standard errors.
+SLACK = 0.15
+#: Sets of a block that is compared as a matrix.
+BLOCK = 96
 #: Ids up to this many (of 8 bytes) are sent to all tasks to pick texts; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -102,7 +105,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in K.chunks(batch.column(1), K.CHUNK_BYTES // 2):
+        for texts in K.chunks(batch.column(1)):
             values, offsets = shingle_sets(texts, width)
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
@@ -126,7 +129,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in K.chunks(batch.column(1), K.CHUNK_BYTES // 2):
+        for texts in K.chunks(batch.column(1)):
             values, offsets = shingle_sets(texts, width)
             n = len(offsets) - 1
             blob = (offsets * 8).astype(np.int32)
@@ -152,11 +155,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common = int((y[at] == x).sum())
+            common = _intersection(x, y)
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -164,21 +163,96 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): ``id`` and ``c``, the smallest id of its component.
 
-    Minimum labels move along the edges and each label then jumps to its own label, until none
-    changes; every round is written, so a lost executor costs one round at most.
+    In each round every id takes the smallest id next to it, twice what that one took, and the
+    edges are drawn anew between what their ends took: they shrink until none is left.  Rounds
+    are written, so a lost executor costs one round at most.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a != b")
-    kind = edges.schema["a"].dataType.simpleString()
-    both = stored(both.distinct(), "edges")
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).cast(kind).alias("c")), "labels")
-    while True:
-        seen = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        moved = label.join(seen, "id").select("id", F.col("c").alias("before"), F.least("c", "m").alias("c"))
-        jump = label.select(F.col("id").alias("c"), F.col("c").alias("d"))
-        moved = stored(moved.join(jump, "c").select("id", "before", F.least("c", "d").alias("c")), "labels")
-        label = moved.select("id", "c")
-        if not moved.where("c != before").limit(1).count():
-            return label
+
+    def drawn(a: str, b: str, rows: DataFrame) -> DataFrame:
+        return stored(rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct(), "edges")
+
+    left, label = drawn("a", "b", edges), None
+    while label is None or left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        took = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")), "labels")
+        for _ in range(2):
+            next_ = took.select(F.col("id").alias("c"), F.col("c").alias("d"))
+            took = stored(took.join(next_, "c").select("id", F.col("d").alias("c")), "labels")
+        ends = left.join(took.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(took.select(F.col("id").alias("b"), F.col("c").alias("y")), "b")
+        left = drawn("x", "y", ends)
+        if label is None:
+            label = took
+        else:
+            next_ = took.select(F.col("id").alias("c"), F.col("c").alias("d"))
+            label = stored(label.join(next_, "c", "left").select("id", F.coalesce("d", "c").alias("c")), "labels")
+    return label
+
+
+def _intersection(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _rest(left: DataFrame, regs: DataFrame, members: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) that join the different components in the open bands ``left``.
+
+    Members of bands that touch form a cluster.  It is dealt into blocks, and the registers and
+    sets of two blocks meet in one task, which estimates all their pairs as matrices and
+    confirms near pairs, the nearest first, unless links found there join them already.  No row
+    is made for a pair that is not a link.
+    """
+    bound = percent / 100
+    own = left.select("id", "c").distinct()
+    # bands touch through the smallest members of an id's bands: edges between those alone
+    least = left.groupBy("id").agg(F.min("lo").alias("b"))
+    touch = components(left.select("id", F.col("lo").alias("a")).join(least, "id").select("a", "b").distinct())
+    cluster = least.join(touch.select(F.col("id").alias("b"), "c"), "b", "left").select("id", F.coalesce("c", "b").alias("c"))
+    sizes = cluster.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cluster.join(sizes, "c").select("id", F.col("c").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    rows = own.join(placed, "id").join(regs, "id").join(members, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c", "n", "regs", "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j, block = (table.column(k).to_numpy() for k in (1, 2, 3))
+        ids, comp, n = table.column(4), table.column(5).to_pylist(), table.column(6).to_numpy().astype(float)
+        label = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        comp = np.array([label[c] for c in comp])
+        sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(8)]
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = (comp[x][:, None] != comp[y][None]) & (np.minimum(n[x][:, None], n[y][None]) >= bound * np.maximum(n[x][:, None], n[y][None]) - 1e-9)
+        if i[0] == j[0]:
+            near = np.triu(near, 1)
+        p, q = (z[k] for z, k in zip((x, y), np.nonzero(near), strict=True))
+        alike = (sketch[p] == sketch[q]).mean(axis=1) >= bound - SLACK
+        p, q = p[alike], q[alike]
+        found: list[tuple[int, int]] = []
+        if len(p):
+            close = estimate(sketch[p], sketch[q], n[p], n[q])
+            order = np.argsort(-close, kind="stable")
+            parent = list(range(len(label)))
+
+            def root(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            for k in order[close[order] >= bound - SLACK].tolist():
+                a, b = root(comp[p[k]]), root(comp[q[k]])
+                if a != b:
+                    s, t = sets[p[k]], sets[q[k]]
+                    common = _intersection(s, t)
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        parent[a] = b
+                        found.append((p[k], q[k]))
+        a, b = ([f[k] for f in found] for k in (0, 1))
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+    return stored(rows.groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -230,18 +304,16 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     left = stored(open_bands(label), "open")
     if left.limit(1).count():
-        ends = left.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"), "c")
-        other = ends.join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b", "left").where("c != coalesce(d, b)")
-        label = wider(label, confirm(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        # the hub of a band: its member that meets the most others over all bands
+        sizes = left.groupBy("band").agg(F.count("*").alias("size"))
+        meets = left.select("band", "id").join(sizes, "band").groupBy("id").agg(F.sum("size").alias("meets"))
+        hubs = left.select("band", "id").join(meets, "id").groupBy("band").agg(F.max(F.struct("meets", "id")).alias("hub"))
+        spokes = left.join(hubs, "band").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "c")
+        spokes = spokes.join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b", "left").where("c != coalesce(d, b)")
+        label = wider(label, confirm(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         left = stored(open_bands(label), "open")
         if left.limit(1).count():
-            main = left.groupBy("band").agg(F.min("c").alias("main"))
-            split = stored(left.select("band", "id", "c").join(main, "band"), "split")
-            side = split.where("c != main").select("band", "id", "c")
-            pairs = side.alias("x").join(split.where("c = main").alias("y"), "band").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-            rest = side.alias("x").join(side.alias("y"), "band").where("x.id < y.id and x.c != y.c").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-            pairs = pairs.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            label = wider(label, confirm(pairs))
+            label = wider(label, _rest(left, regs, members, percent, kind))
 
     placed = own.select("id", "n", "rep").join(label.select(F.col("id").alias("rep"), "c"), "rep", "left")
     placed = placed.select("id", "n", F.coalesce("c", "rep").alias("c"))
@@ -257,4 +329,4 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Rows that repeat the id of a kept document are that document and stay with it.
     """
     gone = linked(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
