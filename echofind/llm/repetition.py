@@ -125,13 +125,12 @@ def quality(docs: DataFrame, rules: Rules | None = None, id_column: str = "doc_i
 
 def accepted(docs: DataFrame, rules: Rules | None = None, text_column: str = "text") -> DataFrame:
     """The rows, whole and unchanged, whose text the rules keep; one pass, no shuffle."""
-    rules = rules or Rules()
+    rules, at = rules or Rules(), docs.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_column)
             for texts in K.chunks(batch.column(at)):
                 part = batch.slice(texts.rows.start, texts.rows.stop - texts.rows.start)
                 yield part.filter(pa.array(measure(texts, rules)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(keep, docs.schema)

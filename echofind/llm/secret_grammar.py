@@ -262,12 +262,11 @@ def masked(text: str | None, model: Model, min_bits: float = MIN_BITS) -> str |
 
 def redacted(docs: DataFrame, model: Model | None = None, min_bits: float = MIN_BITS) -> DataFrame:
     """All rows and columns, the secrets in ``text`` masked."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    shared, at = docs.sparkSession.sparkContext.broadcast(model or default_model()), docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [masked(t, shared.value, min_bits) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.toDF(*map(str, range(len(docs.columns)))).mapInArrow(mask, docs.schema)

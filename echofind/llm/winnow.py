@@ -224,7 +224,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows, whole and unchanged, that the contamination rule leaves."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("key"), "text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("key"), "text")
     found = _overlaps(rows, benchmark, span, gram, block_bytes).withColumnRenamed("key", "doc_id")
     kept = verdicts(found).where(~F.col("contaminated"))
-    return kept.select(*(F.col("doc_id")[c].alias(c) for c in docs.columns))
+    return kept.select(*(F.col("doc_id")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
