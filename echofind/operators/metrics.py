@@ -145,3 +145,11 @@ def distributions(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     pairs = F.stack(F.lit(len(columns)), *(x for c in columns for x in (F.lit(c), F.col(c).cast("double"))))
     long = df.select(label, pairs.alias("feature", "value"))
     return long.groupBy(label, "feature").agg(F.count("value").alias("n"), *(F.round(F.percentile("value", q), 6).alias(k) for k, q in (("low", 0.0), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("high", 1.0))))
+
+
+def prediction_correlation(predictions: DataFrame, models: list[str]) -> DataFrame:
+    """Of ``id, model, prediction``: Pearson correlations of all pairs of models, ``model1, model2, r``; one pass."""
+    wide = predictions.groupBy("id").agg(*(F.max(F.when(F.col("model") == m, F.col("prediction").cast("double"))).alias(f"m{k}") for k, m in enumerate(models)))
+    pairs = [(i, j) for i in range(len(models)) for j in range(i + 1, len(models))]
+    out = wide.agg(*(F.corr(f"m{i}", f"m{j}").alias(f"r{n}") for n, (i, j) in enumerate(pairs)))
+    return out.select(F.stack(F.lit(len(pairs)), *(x for n, (i, j) in enumerate(pairs) for x in (F.lit(models[i]), F.lit(models[j]), F.round(f"r{n}", 6)))).alias("model1", "model2", "r"))

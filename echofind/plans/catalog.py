@@ -846,3 +846,45 @@ def detection(spark, sf_dir):
     model = models.fitted(train, names, "forest", trees=5)
     pairs = train.select("id1", "id2", (F.col("label") * 3).alias("label"))
     return plan.detected(pairs, corpus, model, names)
+
+
+@query(f"with {_TUNE} select n_bands, " + ", ".join(f"round(min_by(case when n_hashes = {h} then precision end, case when n_hashes = {h} then shingle_k end), 6)::double as h{h}" for h in (64, 128, 192)) + " from d group by n_bands")
+def lsh_heatmap(spark, sf_dir):
+    own = tuning.heatmap(_sweep(spark, sf_dir), "precision", [64, 128, 192])
+    return own.select("n_bands", *(F.round(f"h{h}", 6).alias(f"h{h}") for h in (64, 128, 192)))
+
+
+@query(f"with {SCORED}, w as (select doc_id, " + ", ".join(f"(((doc_id * {f}) % 101) / 100.0::double >= 0.3)::int as m{f}" for f in _FACTORS) + " from scored) " + " union all ".join(f"select 'm{a}' as model1, 'm{b}' as model2, round(corr(m{a}, m{b}), 6) as r from w" for i, a in enumerate(_FACTORS) for b in _FACTORS[i + 1 :]))
+def prediction_correlation(spark, sf_dir):
+    rows = scored(spark, sf_dir).select("doc_id", F.explode(F.array(*map(F.lit, _FACTORS))).alias("factor"))
+    own = rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("m"), "factor").alias("model"), (F.pmod(F.col("doc_id") * F.col("factor"), F.lit(101)) / 100.0 >= 0.3).cast("int").alias("prediction"))
+    return metrics.prediction_correlation(own, [f"m{f}" for f in _FACTORS])
+
+
+@query(
+    f"with {SIGNED}, {PAIRS}, total as (select count(*) as n from pairs), k as (select count(*) as t from cp), "
+    + ", ".join(
+        f"hit{b} as (select id1, id2 from pairs join sig a on a.id = id1 join sig b on b.id = id2 where " + " or ".join("(" + " and ".join(f"a.m{i * (48 // b) + r} = b.m{i * (48 // b) + r}" for r in range(48 // b)) + ")" for i in range(b)) + ")"
+        for b in (8, 12)
+    )
+    + " "
+    + " union all ".join(
+        f"select 48 as n_hashes, {b} as n_bands, n as pairs_before, c as pairs_after, t as true_pairs, r as true_retained, case when n > 0 then round(1 - c / n, 6) else 0 end as reduction, coalesce(round(r / nullif(t, 0), 6), 0) as candidate_recall, coalesce(round(r / nullif(c, 0), 6), 0) as candidate_precision from total, k, (select count(*) as c, count(cp.id1) as r from hit{b} left join cp using (id1, id2))"
+        for b in (8, 12)
+    )
+)
+def lsh_empirical_sweep(spark, sf_dir):
+    own = documents(spark, sf_dir)
+    return tuning.empirical(pair_list(spark, sf_dir), class_pairs(own), clones.word_shingles(own, SHINGLE), (48,), (8, 12))
+
+
+@query()
+def pipeline_ablation(spark, sf_dir):
+    from . import detection as plan
+    from . import models
+
+    features = _features(spark, sf_dir, False)
+    names = [c for c in features.columns if c not in ("id1", "id2")]
+    train = pair_features.sanitized(features, names).withColumn("label", (F.col("lex_lcs_ratio") >= 0.75).cast("int"))
+    model = models.fitted(train, names, "forest", trees=5)
+    return plan.ablation(train.select("id1", "id2", (F.col("label") * 3).alias("label")), turns(spark, sf_dir), model, names)

@@ -46,3 +46,15 @@ def report(predictions: DataFrame) -> DataFrame:
     """Binary metrics of clones against the rest, with a flag for a very low recall."""
     cells = metrics.confusion(predictions, (F.col("label") > 0).cast("int"), (F.col("prediction") > 0).cast("int"))
     return metrics.classification(cells).withColumn("low_recall", F.col("recall") < 0.1)
+
+
+def ablation(pairs: DataFrame, corpus: DataFrame, model: Model, features: list[str], **more) -> DataFrame:
+    """Metrics of the plan as it is, without the candidate filter, and without the rules, each run for real."""
+    full = detected(pairs, corpus, model, features, **more)
+    runs = {
+        "full": full,
+        "no_lsh": detected(pairs, corpus, model, features, skip_lsh=True, **more),
+        "no_rules": full.withColumn("prediction", F.when(F.col("prediction").isin(1, 2), 0).otherwise(F.col("prediction"))),
+    }
+    parts = [report(df).select(F.lit(name).alias("config"), "*") for name, df in runs.items()]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import clones
+
 
 def _series(spark: SparkSession, name: str, bounds: tuple[int, int, int]) -> DataFrame:
     return spark.range(*bounds).select(F.col("id").alias(name))
@@ -47,3 +52,22 @@ def recommend(rows: DataFrame, min_recall: float = 0.9, min_precision: float = 0
     chosen = tiered.join(F.broadcast(tiered.agg(F.min("tier").alias("least"))), F.col("tier") == F.col("least")).drop("least")
     order = Window.orderBy(F.col("f1").desc(), "n_hashes", "n_bands", "shingle_k")
     return chosen.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= 1 + alternatives)
+
+
+def heatmap(rows: DataFrame, value: str, columns: list[int]) -> DataFrame:
+    """The first ``value`` (by shingle length) of every pair of bands and hashes, hashes as columns."""
+    first = lambda h: F.min_by(F.when(F.col("n_hashes") == h, F.col(value)), F.when(F.col("n_hashes") == h, F.col("shingle_k")))
+    return rows.groupBy("n_bands").agg(*(first(h).alias(f"h{h}") for h in columns))
+
+
+def empirical(pairs: DataFrame, truth: DataFrame, shingles: DataFrame, hashes: Sequence[int] = (32, 36, 40, 44, 48), bands: Iterable[int] = range(8, 14), seed: int = 42) -> DataFrame:
+    """Real candidate metrics of a pair list for every dividing combination, from one signature table of the most hashes."""
+    signed = clones.signatures(shingles, max(hashes), seed).cache()
+    total = pairs.count()
+    parts = []
+    for h in hashes:
+        for b in bands:
+            if h % b == 0:
+                hit = clones.filtered(pairs, clones.band_keys(signed, h, b))
+                parts.append(clones.candidate_metrics(hit, truth, total).select(F.lit(h).alias("n_hashes"), F.lit(b).alias("n_bands"), "*"))
+    return reduce(DataFrame.union, parts)
