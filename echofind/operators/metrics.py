@@ -36,11 +36,22 @@ def classification(cells: DataFrame) -> DataFrame:
     return cells.select(*keys, "tp", "fp", "tn", "fn", *(_six(v).alias(k) for k, v in out.items()))
 
 
+#: Parts of the unit that scores are dealt into, in their order.
+PARTS = 4096
+
+
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score: positives and negatives, and both from the highest score down to it."""
+    """Per distinct score: its part, positives and negatives, and both from the highest score down to it.
+
+    Sums run within parts of the score range; only totals of parts meet in one window.
+    """
     counts = df.groupBy(F.col(score).alias("score")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    counts = counts.withColumn("part", F.floor(F.col("score") * PARTS))
+    above = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
+    parts = parts.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0)).alias("n0"))
+    down = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(parts, "part").select("part", "score", "p", "n", (F.col("p0") + F.sum("p").over(down)).alias("tp"), (F.col("n0") + F.sum("n").over(down)).alias("fp"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -56,17 +67,28 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def curves(df: DataFrame, label: str, score: str) -> DataFrame:
     """Points of the ROC and precision-recall curves, one per distinct score, and the upper envelope of precision."""
-    own, whole = _by_score(df, label, score), Window.partitionBy()
-    p, n = F.sum("p").over(whole), F.sum("n").over(whole)
-    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rest = Window.orderBy(F.col("score").desc()).rowsBetween(0, Window.unboundedFollowing)
-    return own.select("score", _six(share(F.col("fp"), n)).alias("fpr"), _six(share(F.col("tp"), p)).alias("tpr"), _six(precision).alias("precision"), _six(F.max(precision).over(rest)).alias("envelope"))
+    own = _by_score(df, label, score).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+    whole = F.broadcast(own.agg(F.sum("p").alias("ps"), F.sum("n").alias("ns")))
+    below = Window.orderBy(F.col("part").desc()).rowsBetween(1, Window.unboundedFollowing)
+    parts = own.groupBy("part").agg(F.max("precision").alias("best"))
+    parts = parts.select("part", F.max("best").over(below).alias("rest"))
+    rest = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(0, Window.unboundedFollowing)
+    envelope = F.greatest(F.max("precision").over(rest), F.col("rest"))
+    return own.join(parts, "part").join(whole).select(
+        "score", _six(share(F.col("fp"), F.col("ns"))).alias("fpr"), _six(share(F.col("tp"), F.col("ps"))).alias("tpr"), _six(F.col("precision")).alias("precision"), _six(envelope).alias("envelope")
+    )
 
 
 def interpolated(curve: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
-    """A curve at ``points`` even places of [0, 1], linear between its points; ``grid, x, value``."""
+    """A curve at ``points`` even places of [0, 1], linear between its points; ``grid, x, value``.
+
+    Only the outermost points of each grid cell matter, so windows see two rows per cell.
+    """
     spark = curve.sparkSession
-    own = curve.groupBy(F.col(x).alias("x")).agg(F.max(y).alias("y"))
+    cell = F.floor(F.col(x) * (points - 1))
+    ends = curve.groupBy(cell.alias("cell")).agg(F.min(F.struct(F.col(x).alias("x"), (-F.col(y)).alias("y"))).alias("a"), F.max(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("b"))
+    both = ends.select(F.col("a.x").alias("x"), (-F.col("a.y")).alias("y")).union(ends.select("b.x", "b.y"))
+    own = both.groupBy("x").agg(F.max("y").alias("y"))
     order = Window.orderBy("x")
     pieces = own.select("x", "y", F.lead("x").over(order).alias("x2"), F.lead("y").over(order).alias("y2"), F.lag("x").over(order).alias("x0"))
     grid = spark.range(points).select(F.col("id").alias("grid"), (F.col("id") / (points - 1)).alias("g"))
@@ -106,6 +128,42 @@ def brier_logloss(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.agg(_six(F.avg((F.col(score) - y) * (F.col(score) - y))).alias("brier"), _six(-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
+#: Parts that the values of a group are dealt into for exact quantiles.
+CUTS = 256
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, linear between neighbours: the keys and a column per wanted name.
+
+    Rough quantiles deal the values of a group into parts in their order; counts of distinct
+    values are summed within parts, and only totals of parts meet in one window.  No group, of
+    whatever size, gathers in one task.
+    """
+    own = df.select(F.struct(*(keys or [F.lit(0).alias("_")])).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null")
+    counts = own.groupBy("k", "v").agg(F.count("*").alias("n"))
+    cuts = own.groupBy("k").agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts"))
+    dealt = counts.join(cuts, counts["k"] == cuts["k"]).select(counts["k"].alias("k"), "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+    totals = dealt.groupBy("k", "part").agg(F.sum("n").alias("t"))
+    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("k").alias("k2"), F.col("part").alias("part2"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"), F.sum("t").over(Window.partitionBy("k")).alias("size"))
+    inside = Window.partitionBy("k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("sum", F.sum("n").over(inside)).join(totals, (F.col("k") == F.col("k2")) & (F.col("part") == F.col("part2")))
+    end = F.col("base") + F.col("sum")
+    placed = placed.select("k", "v", "size", (end - F.col("n")).alias("start"), end.alias("end"))
+    picks = []
+    for name, q in wanted.items():
+        at = (F.col("size") - 1) * q
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("start") <= place) & (place < F.col("end")), F.col("v"))).alias(f"{name}_{side}"))
+    found = placed.groupBy("k").agg(F.max("size").alias("size"), *picks)
+    out = []
+    for name, q in wanted.items():
+        at = (F.col("size") - 1) * q
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return found.select(*(F.col("k")[c].alias(c) for c in keys), *out)
+
+
 def fold_summary(long: DataFrame) -> DataFrame:
     """Per model and metric of ``model, fold, metric, value``: mean, deviation, extremes."""
     return long.groupBy("model", "metric").agg(_six(F.avg("value")).alias("mean"), _six(F.stddev_pop("value")).alias("std"), _six(F.min("value")).alias("min"), _six(F.max("value")).alias("max"))
@@ -144,7 +202,18 @@ def distributions(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """Quartiles and extremes of the columns per class."""
     pairs = F.stack(F.lit(len(columns)), *(x for c in columns for x in (F.lit(c), F.col(c).cast("double"))))
     long = df.select(label, pairs.alias("feature", "value"))
-    return long.groupBy(label, "feature").agg(F.count("value").alias("n"), *(F.round(F.percentile("value", q), 6).alias(k) for k, q in (("low", 0.0), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("high", 1.0))))
+    own = long.groupBy(label, "feature").agg(F.count("value").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    middle = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return joined(own, quantiles(long, [label, "feature"], "value", middle), [label, "feature"], {k: _six(F.col(k)) for k in middle})
+
+
+def joined(own: DataFrame, more: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``own`` with columns of ``more`` by keys that may be null; both have a row per key."""
+    renamed = more.select(*(F.col(k).alias(f"_{k}") for k in keys), *(v.alias(k) for k, v in columns.items()))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(renamed, same, "left").drop(*(f"_{k}" for k in keys))
 
 
 def prediction_correlation(predictions: DataFrame, models: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..functions import tokens as T
 from .clones import attach
+from .metrics import joined, quantiles
 
 #: Feature names in the order of the published table.
 PARITY = (
@@ -90,10 +91,11 @@ def feature_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per feature, over finite values: mean, deviation, extremes, quartiles."""
     pairs = F.stack(F.lit(len(columns)), *(x for c in columns for x in (F.lit(c), F.col(c).cast("double"))))
     long = df.select(pairs.alias("feature", "value")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    return long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.round(F.min("value"), 6).alias("min"), F.round(F.max("value"), 6).alias("max"),
-        *(F.round(F.percentile("value", q), 6).alias(n) for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))),
-    )
+    own = long.groupBy("feature").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.round(F.min("value"), 6).alias("min"), F.round(F.max("value"), 6).alias("max")
+    )
+    middle = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return joined(own, quantiles(long, ["feature"], "value", middle), ["feature"], {k: F.round(k, 6) for k in middle})
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
