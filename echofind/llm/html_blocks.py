@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
+from .scratch import modest
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 #: Names of elements, by their part in a page.
@@ -246,6 +247,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def extracted(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """Per page row: ``page_id, url, text, n_chars``."""
+    modest(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(tree or default_tree())
     some = pages.select("page_id", "url", "html")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import stored
+from .scratch import modest, stored
 
 #: Buckets as a power of two, bytes of word beginnings, smoothing in expected counts, and the significance bound.
 BITS, BEGINNINGS, SMOOTH, SIGNIFICANT = 18, (5, 6, 7, 8), 2.0, 3.0
@@ -120,6 +120,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 def resampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
     """Per document row: ``doc_id, n_grams, weight, key, kept``."""
     spark = docs.sparkSession
+    modest(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = labels.select("doc_id", "quality", "toxic").where("doc_id is not null").distinct()
 

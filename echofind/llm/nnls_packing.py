@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 from typing import NamedTuple
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import stored
+from .scratch import modest, stored
 
 WINDOW, END = 2048, 1
 #: The most frequent lengths that combinations of three and of four lengths draw from.
@@ -187,7 +186,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, window:
     encode, part = encoder(vocabulary), TaskContext.get().partitionId()
     seen, full = np.zeros(window + 1, np.int64), 0
     for batch in batches:
-        for texts in K.chunks(batch.column(1), 1 << 20):
+        for texts in K.chunks(batch.column(1)):
             n = len(texts.offsets) - 1
             column = batch.column(1).slice(texts.rows.start, n)
             ids = [encode(t or "") for t in column.to_pylist()]
@@ -227,20 +226,21 @@ def _placed(batches: Iterator[pa.RecordBatch], plan: Fit, window: int) -> Iterat
         tokens, rests, rest_ranks, full_ranks = (batch.column(i).to_pylist() for i in range(1, 5))
         rows, cols = [], [[] for _ in range(6)]
         for k, (n, rest, rest_rank, full_rank, ids) in enumerate(zip(tokens, rests, rest_ranks, full_ranks, batch.column(5), strict=True)):
-            ids = ids.as_buffer()
+            ids = np.frombuffer(ids.as_buffer(), np.uint16)
             pieces = [(j * window + a, b, c, d) for j in range(n // window) for a, b, c, d in spot(window, full_rank + j)]
             if rest:
                 pieces += [(n - rest + a, b, c, d) for a, b, c, d in spot(rest, rest_rank)]
             for start, length, sequence, offset in pieces:
                 rows.append(k)
-                for col, v in zip(cols, (start, length, bytes(ids[2 * start : 2 * (start + length)]), n, sequence, offset), strict=True):
+                for col, v in zip(cols, (start, length, ids[start : start + length].astype("<u4").tobytes(), n, sequence, offset), strict=True):
                     col.append(v)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
 
 def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW) -> DataFrame:
-    """A row per piece: ``doc_id, start, length, ids`` (little-endian unsigned 16-bit), ``doc_tokens, sequence_id, offset``."""
+    """A row per piece: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens, sequence_id, offset``."""
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, part int, tokens long, rest int, rest_rank long, full_rank long, ids binary"
     read = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encoded(it, vocabulary, window), schema), "tokens")
@@ -265,13 +265,5 @@ def packed(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW) -> Dat
 
 
 def checksums(pieces: DataFrame) -> DataFrame:
-    """Pieces with ``ids_crc32``, of their ids as little-endian unsigned 32-bit numbers, in place of the ids."""
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-
-    def crc(batches):
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), np.uint16).astype("<u4").tobytes()) for x in batch.column(3)]
-            columns = [*batch.columns[:3], pa.array(sums, pa.int64()), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.mapInArrow(crc, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    """Pieces with ``ids_crc32`` in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .scratch import modest
 from .spans import Span, free, scanned
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -303,6 +304,7 @@ def scan(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 def find_personal(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Per document row: ``doc_id``, counts and digest of the base spans, and all spans."""
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
     schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE_KINDS)}, base_sha256 string, spans string"

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import stored
+from .scratch import modest, stored
 
 #: Words of a window.
 WIDTH = 50
@@ -126,26 +126,40 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1, h2 = K.window_hashes(hashes, WIDTH), K.window_hashes(hashes, WIDTH, second=True)
             group = K.owner(first)[ok]
             f1, f2 = _signs(hashes, first)
+            # a window that a text repeats is one row, with all its places
+            order = np.lexsort((h2[ok], h1[ok], group))
+            ok, group = ok[order], group[order]
+            new = np.ones(len(ok), bool)
+            new[1:] = (group[1:] != group[:-1]) | (h1[ok[1:]] != h1[ok[:-1]]) | (h2[ok[1:]] != h2[ok[:-1]])
+            lead = np.flatnonzero(new)
+            at = pa.ListArray.from_arrays(pa.array(np.append(lead, len(ok)), pa.int32()), pa.array((ok - first[group]).astype(np.int32)))
+            ok, group = ok[lead], pa.array(group[lead])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(texts.rows.start, n).take(pa.array(group)), f1.take(pa.array(group)), pa.array((ok - first[group]).astype(np.int32)), pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64))],
+                [batch.column(0).slice(texts.rows.start, n).take(group), f1.take(group), at, pa.array(h1[ok].view(np.int64)), pa.array(h2[ok].view(np.int64))],
                 ["id", "f1", "at", "h1", "h2"],
             )
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns id, text, starts (of windows to remove): what stays of each text."""
+    """Columns id, text, runs (of f1 and the windows to remove from the text of that sign): what stays of each text."""
     for batch in batches:
         for texts, found, hashes in _parts(batch.column(1)):
-            n, first = len(found.first) - 1, found.first
-            f1, f2 = _signs(hashes, first)
+            n = len(found.first) - 1
+            f1, f2 = _signs(hashes, found.first)
             raw, o = texts.data.tobytes(), texts.offsets.tolist()
-            removed, sums = [], []
-            for t, starts in enumerate(batch.column(2).slice(texts.rows.start, n)):
-                words = raw[o[t] : o[t + 1]].split()
-                gone = K.covered(starts.values.to_numpy().astype(np.int64), WIDTH, len(words))
-                removed.append(int(gone.sum()))
-                sums.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.rows.start, n), f1, f2, pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["id", "f1", "f2", "removed", "rest"])
+            removed, sums, rows = [], [], []
+            for t, (sign, runs) in enumerate(zip(f1.to_pylist(), batch.column(2).slice(texts.rows.start, n), strict=True)):
+                for run in runs.values:  # texts that share an id are told apart by their content
+                    if run["f1"].as_py() == sign:
+                        words = raw[o[t] : o[t + 1]].split()
+                        gone = K.covered(run["starts"].values.to_numpy().astype(np.int64), WIDTH, len(words))
+                        rows.append(t)
+                        removed.append(int(gone.sum()))
+                        sums.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).hexdigest())
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(texts.rows.start, n).take(rows), f1.take(rows), f2.take(rows), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["id", "f1", "f2", "removed", "rest"]
+            )
 
 
 def _picked(df: DataFrame, ids: DataFrame, few: bool, how: str = "left_semi") -> DataFrame:
@@ -154,6 +168,7 @@ def _picked(df: DataFrame, ids: DataFrame, few: bool, how: str = "left_semi") ->
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words, joined by spaces)."""
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     read = stored(texts.mapInArrow(_anchors, f"id {kind}, n long, f1 long, f2 long, whole string, anchors array<long>"), "anchors")
@@ -171,16 +186,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     few = mine.count() <= BROADCAST_IDS
     mine = mine.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
     near = _picked(texts, mine.select("id"), few).join(mine, "id").select("id", "text", "anchors")
-    windows = stored(near.mapInArrow(_windows, f"id {kind}, f1 long, at int, h1 long, h2 long"), "windows")
+    windows = stored(near.mapInArrow(_windows, f"id {kind}, f1 long, at array<int>, h1 long, h2 long"), "windows")
     owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
     later = windows.join(owners, ["h1", "h2"]).where("least < id")
-    starts = stored(later.groupBy("id", "f1").agg(F.collect_set("at").alias("starts")), "starts")
+    starts = stored(later.groupBy("id", "f1").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
 
-    # texts that share an id are told apart by their content
     few = starts.count() <= BROADCAST_IDS
-    ids = starts.select("id").distinct()
-    signed = _picked(texts, ids, few).mapInArrow(_sign, f"id {kind}, text string, f1 long")
-    rest = signed.join(starts, ["id", "f1"]).select("id", "text", "starts").mapInArrow(_kept, f"id {kind}, f1 long, f2 long, removed long, rest string")
+    runs = starts.groupBy("id").agg(F.collect_list(F.struct("f1", "starts")).alias("runs"))
+    rest = _picked(texts, starts.select("id").distinct(), few).join(runs, "id").select("id", "text", "runs")
+    rest = rest.mapInArrow(_kept, f"id {kind}, f1 long, f2 long, removed long, rest string")
     rest = rest.groupBy("id", "f1", "f2").agg(F.min("removed").alias("removed"), F.min("rest").alias("rest"))
     gone = copies.select("id", "f1", "f2", F.lit(True).alias("copy"))
     out = read.select("id", "n", "f1", "f2", "whole").join(rest, ["id", "f1", "f2"], "left")
@@ -193,8 +207,3 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.when(F.col("copy"), F.lit(empty)).otherwise(F.coalesce("rest", "whole")).alias("kept_sha256"),
     )
 
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        signs = [_signs(hashes, found.first)[0] for _, found, hashes in _parts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.concat_arrays(signs) if signs else pa.array([], pa.int64())], ["id", "text", "f1"])

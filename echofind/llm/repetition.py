@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
+from .scratch import modest
 
 SYMBOLS = K.byte_class(lambda b: b in b"#*$%&|<>")
 LEADS = K.byte_class(lambda b: b & 0xC0 != 0x80)
@@ -117,6 +118,7 @@ def _batches(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Rec
 
 def quality(docs: DataFrame, rules: Rules | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Measures and verdict of every text: ``doc_id`` and the columns of ``FIELDS``."""
+    modest(docs.sparkSession)
     rules = rules or Rules()
     some = docs.select(id_column, text_column)
     kind = some.schema[0].dataType.simpleString()
@@ -125,6 +127,7 @@ def quality(docs: DataFrame, rules: Rules | None = None, id_column: str = "doc_i
 
 def accepted(docs: DataFrame, rules: Rules | None = None, text_column: str = "text") -> DataFrame:
     """The rows, whole and unchanged, whose text the rules keep; one pass, no shuffle."""
+    modest(docs.sparkSession)
     rules, at = rules or Rules(), docs.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

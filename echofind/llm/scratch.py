@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -46,3 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of a batch that goes to a Python worker; the defaults hold tens of megabytes of text on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def modest(spark: SparkSession) -> None:
+    """Lower the session's batch size for Python workers to what texts of any length need; a lower one stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[^0-9]", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))

@@ -24,6 +24,7 @@ from math import log, log2, sqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import modest
 from .spans import Span, free, scanned
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -238,6 +239,7 @@ def scan(text: str, model: Model, min_bits: float = MIN_BITS) -> tuple[list[Span
 
 def find_secrets(docs: DataFrame, model: Model | None = None, min_bits: float = MIN_BITS) -> DataFrame:
     """Per document row: ``doc_id``, counts and digest of the base spans, and all spans."""
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -262,6 +264,7 @@ def masked(text: str | None, model: Model, min_bits: float = MIN_BITS) -> str |
 
 def redacted(docs: DataFrame, model: Model | None = None, min_bits: float = MIN_BITS) -> DataFrame:
     """All rows and columns, the secrets in ``text`` masked."""
+    modest(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model or default_model()), docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import stored
+from .scratch import modest, stored
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
@@ -257,6 +257,7 @@ def _rest(left: DataFrame, regs: DataFrame, members: DataFrame, percent: int, ki
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document row: ``doc_id, n_shingles, component_id, kept``."""
+    modest(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", "text")
     bound = percent / 100

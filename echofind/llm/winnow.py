@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .scratch import stored
+from .scratch import modest, stored
 
 #: Words of a window of an item.
 SPAN = 13
@@ -191,6 +191,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
 
 def _overlaps(rows: DataFrame, benchmark: DataFrame, span: int, gram: int, block_bytes: int) -> DataFrame:
     """key, text -> key, n_words, spans, items; between blocks the rows are written, so one block is in memory at a time."""
+    modest(rows.sparkSession)
     key = rows.schema["key"].dataType.simpleString()
     todo = blocks(benchmark, block_bytes)
     for k, items in enumerate(todo):
