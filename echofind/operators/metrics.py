@@ -135,14 +135,15 @@ CUTS = 256
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact quantiles of each group, linear between neighbours: the keys and a column per wanted name.
 
-    Rough quantiles deal the values of a group into parts in their order; counts of distinct
+    Rough quantiles of the distinct values deal the values of a group into parts in their order; counts of distinct
     values are summed within parts, and only totals of parts meet in one window.  No group, of
     whatever size, gathers in one task.
     """
     own = df.select(F.struct(*(keys or [F.lit(0).alias("_")])).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null")
     counts = own.groupBy("k", "v").agg(F.count("*").alias("n"))
-    cuts = own.groupBy("k").agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts"))
-    dealt = counts.join(cuts, counts["k"] == cuts["k"]).select(counts["k"].alias("k"), "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+    cuts = counts.groupBy("k").agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts"))
+    cuts = cuts.select(F.col("k").alias("c"), "cuts")
+    dealt = counts.join(cuts, F.col("k") == F.col("c")).select("k", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
     totals = dealt.groupBy("k", "part").agg(F.sum("n").alias("t"))
     before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("k").alias("k2"), F.col("part").alias("part2"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"), F.sum("t").over(Window.partitionBy("k")).alias("size"))
