@@ -38,7 +38,7 @@ class Rules:
     min_words: int = 10
     window: int = 5
     window_percent: int = 20
-    grams: dict[int, float] = field(default_factory=lambda: {3: 0.5, 5: 0.22, 8: 0.2, 13: 0.2})
+    grams: dict[int, float] = field(default_factory=lambda: {3: 0.5, 5: 0.3, 8: 0.28, 13: 0.25})
     line_chars: float = 0.3
 
 
