@@ -28,7 +28,7 @@ def token_bands(records: DataFrame, hashes: int = 48, bands: int = 16, k: int =
 
 def detected(pairs: DataFrame, corpus: DataFrame, model: Model, features: list[str], hashes: int = 48, bands: int = 16, k: int = 3, threshold: float = 0.30, similarity: float = 0.0, skip_lsh: bool = False) -> DataFrame:
     """``id1, id2, label, prediction``; features and the model see candidates only."""
-    records = normalize.token_records(corpus)
+    records = normalize.token_records(corpus).persist()  # digests, bands and features read it
     keys = pairs.select("id1", "id2").distinct()
     typed = clones.clone_types(keys, digests(corpus, records))
     open_ = typed.where("clone_type = 0").select("id1", "id2")
