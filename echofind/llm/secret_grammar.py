@@ -84,16 +84,25 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str]]:
         lambda: f"{word()}-{word()}-{draw(DIGITS, 3)}-{word()}",
         lambda: f"{draw(DIGITS + 'abcdef', 8)}-" + "-".join(draw(DIGITS + "abcdef", 4) for _ in range(3)) + f"-{draw(DIGITS + 'abcdef', 12)}",
         lambda: rng.choice("=-_") * rng.randint(16, 40),
+        lambda: rng.choice("+/" + UPPER + LOWER) * rng.randint(16, 80),
+        lambda: "".join(rng.sample("=-_+/", 2)) * rng.randint(8, 30),
+        lambda: "".join(rng.sample(UPPER + LOWER, 2)) * rng.randint(8, 40),
+        lambda: "+" + "".join(rng.choice("-=") * rng.randint(3, 12) + "+" for _ in range(rng.randint(4, 6))),
+        lambda: "".join("/" + word() for _ in range(rng.randint(4, 8))),
+        lambda: "/".join(word() for _ in range(3)) + "/" + word().upper(),
+        lambda: rng.choice(("", "/")) + "/".join(word().title() for _ in range(rng.randint(4, 8))),
     )
     rows += [(make(), f"-{k}") for k, make in enumerate(shapes) for _ in range(n)]
     return rows
 
 
 def symbols(token: str) -> list[str]:
-    """The first four characters as they are, then classes; punctuation always as it is."""
+    """The first four characters as they are, then classes, with ``~`` for one of the two characters before; punctuation as it is."""
     out = []
     for i, c in enumerate(token):
-        if i < 4 or not c.isalnum():
+        if i >= 4 and c in token[i - 2 : i]:
+            out.append("~")
+        elif i < 4 or not c.isalnum():
             out.append(c)
         else:
             out.append("0" if c.isdigit() else ("a" if c <= "f" else "z") if c.islower() else ("A" if c <= "F" else "Z"))
@@ -216,9 +225,6 @@ def default_model() -> Model:
     return Model(labelled())
 
 
-_MIXED = re.compile(r"[0-9]")
-
-
 def scan(text: str, model: Model, min_bits: float = MIN_BITS) -> tuple[list[Span], list[Span]]:
     """The base spans of a text, and those that only the automata find."""
     base: list[Span] = []
@@ -229,11 +235,9 @@ def scan(text: str, model: Model, min_bits: float = MIN_BITS) -> tuple[list[Span
     base += [(*m.span(), "hex") for m in HEX.finditer(text)]
     more = []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if _MIXED.search(token):  # no automaton gives a token without a digit the needed bits
-            bits, kind = model.score(token)
-            if bits >= min_bits:
-                more.append((*m.span(), kind))
+        bits, kind = model.score(m[0])
+        if bits >= min_bits:
+            more.append((*m.span(), kind))
     return base, free(more, base)
 
 

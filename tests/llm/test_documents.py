@@ -1,5 +1,7 @@
 """Every operator on documents against its plain version, and on odd and empty tables."""
 
+import random
+
 import pytest
 
 from echofind.llm import importance, nnls_packing, pii_semicrf, recompress, repetition, secret_grammar, setsketch, winnow
@@ -218,6 +220,26 @@ def test_automata_on_held_out_tokens():
     assert sum(v for label, v in verdicts if label[0] == "-") == 0
 
 
+def test_keys_without_digits():
+    rng = random.Random(31)
+    model, letters = secret_grammar.default_model(), secret_grammar.LOWER + secret_grammar.UPPER
+    draw = lambda n, a=letters: "".join(rng.choice(a) for _ in range(n))
+    keys = {
+        "github": lambda: "ghp_" + draw(36),
+        "google": lambda: "AIza" + draw(35, letters + "_-"),
+        "stripe": lambda: "sk_live_" + draw(24),
+        "jwt": lambda: f"eyJ{draw(20)}.eyJ{draw(40)}.{draw(43)}",
+        "uphex": lambda: draw(40, "ABCDEF"),
+        "base64": lambda: draw(40, letters + "+/"),
+    }
+    for kind, key in keys.items():
+        found = [secret_grammar.scan(f"key {key()} end", model)[1] for _ in range(100)]
+        # letters alone are close to a name in capitals and small letters, so bare ones are found in part
+        assert sum(bool(s) for s in found) >= (40 if kind == "base64" else 95), kind
+    plain = ["A" * 40, "+" * 30, "/" * 60, "+/" * 20, "Ab" * 20, "+-----+--------+---+", "/Users/Someone/Documents/Reports", "docs/guides/start/README", "someVeryLongMethodNameOfAClass", "SOME_LONG_CONSTANT_NAME"]
+    assert [t for t in plain if secret_grammar.scan(t, model)[1]] == []
+
+
 def test_packing(make, corpus):
     import zlib
 
