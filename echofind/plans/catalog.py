@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -787,17 +788,17 @@ def quality_features(spark, sf_dir) -> DataFrame:
 
 @query()
 def model_cross_validation(spark, sf_dir):
-    """Three-fold metrics of the tree models, with few trees."""
+    """Three-fold metrics of all models."""
     from . import models
 
-    return models.cross_validated(quality_features(spark, sf_dir).cache(), QUALITY, ("boosted", "forest"), k=3, trees=5)
+    return models.cross_validated(quality_features(spark, sf_dir).cache(), QUALITY, k=3)
 
 
 @query()
 def model_elimination(spark, sf_dir):
     from . import models
 
-    rows = models.eliminated(quality_features(spark, sf_dir).cache(), QUALITY, (3, 6), k=2, trees=5)
+    rows = models.eliminated(quality_features(spark, sf_dir).cache(), QUALITY, (2, 4, 6), k=3)
     return spark.createDataFrame([(r["n"], ",".join(r["features"]), r["f1"], r["accuracy"]) for r in rows], "n long, features string, f1 double, accuracy double")
 
 
@@ -815,22 +816,23 @@ def model_robustness(spark, sf_dir):
     from . import analysis, models
 
     own = quality_features(spark, sf_dir).cache()
-    model = models.fitted(own.where("fold <> 0"), QUALITY, "forest", trees=10)
-    return analysis.robustness(model, own.where("fold = 0"), QUALITY, "noise", (0.1, 0.2))
+    model = models.fitted(own.where("fold <> 0"), QUALITY, "forest")
+    parts = [analysis.robustness(model, own.where("fold = 0"), QUALITY, kind).select(F.lit(kind).alias("kind"), "*") for kind in analysis.PERTURBATIONS]
+    return reduce(DataFrame.union, parts)
 
 
 @query()
 def model_importance_stability(spark, sf_dir):
     from . import analysis
 
-    return analysis.importance_stability(quality_features(spark, sf_dir).cache(), QUALITY, k=3, trees=10)
+    return analysis.importance_stability(quality_features(spark, sf_dir).cache(), QUALITY, k=3)
 
 
 @query()
 def feature_ablation(spark, sf_dir):
     from . import analysis
 
-    return analysis.one_feature_out(quality_features(spark, sf_dir).cache(), QUALITY[:3], k=2, trees=5)
+    return analysis.one_feature_out(quality_features(spark, sf_dir).cache(), QUALITY, k=3)
 
 
 @query()

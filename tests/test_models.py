@@ -3,7 +3,7 @@ import random
 import pytest
 
 from echofind.operators import splits
-from echofind.plans import analysis, models
+from echofind.plans import analysis, catalog, models
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,26 @@ def test_calibration_and_analysis(table):
     stable = {r.feature: r for r in analysis.importance_stability(table, FEATURES, k=3, trees=5).collect()}
     assert stable["lex_a"].rank_mean < stable["struct_b"].rank_mean
     assert analysis.one_group_out(table, FEATURES, k=3, trees=3).count() == 4
+
+
+def test_registered_scope(spark, monkeypatch):
+    sf_dir, seen = "/root/testdata/sf0.001", {}
+
+    def kept(key):
+        def record(df, features, names=models.NAMES, k=5, seed=42, trees=200):
+            seen.setdefault(key[0], []).append((tuple(features), tuple(names), k, trees))
+            return spark.createDataFrame([(n, 0, m, 0.5) for n in names for m in ("f1", "accuracy")], "model string, fold long, metric string, value double")
+
+        return record
+
+    key = [""]
+    monkeypatch.setattr(models, "cross_validated", kept(key))
+    for key[0] in ("model_cross_validation", "model_elimination", "feature_ablation"):
+        catalog.QUERIES[key[0]](spark, sf_dir)
+    every = tuple(catalog.QUALITY)
+    assert seen["model_cross_validation"] == [(every, ("boosted", "forest", "logistic", "svm"), 3, 200)]
+    assert [(len(f), k, t) for f, _, k, t in seen["model_elimination"]] == [(6, 3, 200), (4, 3, 200), (2, 3, 200)]
+    assert {every} | {tuple(f for f in every if f != gone) for gone in every} == {f for f, *_ in seen["feature_ablation"]}
+    assert {(k, t) for _, _, k, t in seen["feature_ablation"]} == {(3, 50)}
+    rows = catalog.QUERIES["model_robustness"](spark, sf_dir).collect()
+    assert {(r.kind, r.level) for r in rows} == {(kind, level) for kind in analysis.PERTURBATIONS for level in (0.0, *analysis.LEVELS)}
