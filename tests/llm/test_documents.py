@@ -220,6 +220,24 @@ def test_automata_on_held_out_tokens():
     assert sum(v for label, v in verdicts if label[0] == "-") == 0
 
 
+def test_the_estimate_drops_hardly_any_pair_at_the_bound():
+    from math import comb
+
+    import pyarrow as pa
+
+    bound, n = setsketch.PERCENT / 100, setsketch.REGISTERS
+
+    def kept(same):
+        a, b = [1000] * n, [1000] * same + [900 + 200 * (k % 2) for k in range(n - same)]
+        sides = [pa.array([b"".join(v.to_bytes(2, "little") for v in x)], pa.binary()) for x in (a, b)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([100]), pa.array([100]), *sides], list("abnmrs"))
+        return sum(len(x) for x in setsketch._near(iter([batch]), bound))
+
+    least = min(s for s in range(n + 1) if kept(s))
+    lost = sum(comb(n, k) * bound**k * (1 - bound) ** (n - k) for k in range(least))
+    assert lost < 3e-7
+
+
 def test_keys_without_digits():
     rng = random.Random(31)
     model, letters = secret_grammar.default_model(), secret_grammar.LOWER + secret_grammar.UPPER
