@@ -1,7 +1,8 @@
 """Vectorised text primitives over the UTF-8 buffers of Arrow string columns.
 
 All functions work on whole batches: one ``uint8`` buffer and the offsets of its texts.
-Hashes are 64-bit, depend on content alone and so mean the same in every task.
+Hashes are 64-bit, depend on content alone and so mean the same in every task; two independent
+families of them make 128 bits where equality is decided by hashes.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK_BYTES = 1_000_000
 
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
 
 def byte_class(allowed) -> np.ndarray:
     """A 256-entry table from a predicate on byte values."""
@@ -42,33 +41,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F))
+_ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xE7037ED1A0B428DB))
+
+
+class _Keys:
+    """A pseudo-random number per place in a span, grown on demand."""
+
+    def __init__(self, seed: np.uint64):
+        self.seed, self.table = seed, np.zeros(0, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.table) < n:
+            places = np.arange(max(n, 2 * len(self.table)), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                self.table = mix(mix(places + self.seed) + self.seed)
+        return self.table
 
-    def __init__(self, base: int):
-        self.base = [base, pow(base, -1, 1 << 64)]
-        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        for i, base in enumerate(self.base):
-            table = self.tables[i]
-            while len(table) < n:
-                with np.errstate(over="ignore"):
-                    table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
-            self.tables[i] = table
-        return self.tables[0], self.tables[1]
+_KEYS = tuple(map(_Keys, _SEEDS))
 
 
-_BYTES, _WORDS, _WORDS2 = _Powers(int(_BASE)), _Powers(int(_STEP)), _Powers(0xA0761D6478BD642F)
+def _keyed_sums(values: np.ndarray, counts: np.ndarray, second: bool) -> np.ndarray:
+    """Per span of ``counts`` consecutive values: the sum of every value mixed with the key of its place.
 
+    Mixing is not linear, so no pattern of equal values cancels out, as it does in polynomials.
+    """
+    total = len(values)
+    first = np.cumsum(counts) - counts
+    place = np.arange(total) - np.repeat(first, counts)
+    keys = _KEYS[second].upto(int(counts.max(initial=0)))
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(mix(values ^ keys[place]), out=sums[1:])
+    return sums[first + counts] - sums[first]
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _BYTES) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of the slices ``values[starts:ends]``, the length mixed in."""
-    n = len(values)
-    up, down = powers.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hashes of the slices ``values[starts:ends]`` of 64-bit numbers, the length mixed in; ``second`` is an independent family."""
+    counts = ends - starts
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    return mix(_keyed_sums(values[at], counts, second) + counts.astype(np.uint64) * _ODD[second])
+
+
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hashes of the byte slices ``data[starts:ends]``, read in lanes of eight bytes, the length mixed in."""
+    sizes = ends - starts
+    counts = (sizes + 7) // 8
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    first = np.cumsum(counts) - counts
+    place = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    value = lanes[np.repeat(starts, counts) + 8 * place]
+    # the last lane of a slice keeps its own bytes only
+    last = (first + counts - 1)[counts > 0]
+    value[last] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (((-sizes[counts > 0]) % 8) * 8).astype(np.uint64)
+    return mix(_keyed_sums(value, counts, second) + sizes.astype(np.uint64) * _ODD[second])
 
 
 class Texts(NamedTuple):
@@ -121,17 +147,30 @@ def words(texts: Texts, kind: np.ndarray, data: np.ndarray | None = None) -> Wor
     return Words(starts, ends, np.searchsorted(starts, texts.offsets))
 
 
-def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
-    return span_hash(data.astype(np.uint64) + np.uint64(1), found.starts, found.ends)
+def word_hashes(data: np.ndarray, found: Words, second: bool = False) -> np.ndarray:
+    return byte_hash(data, found.starts, found.ends, second)
+
+
+def joined_hash(a: np.ndarray, b: np.ndarray, second: bool = False) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mix(a * _ODD[second] + mix(b + _SEEDS[second]))
 
 
 def window_hashes(hashes: np.ndarray, width: int, second: bool = False) -> np.ndarray:
-    """A hash for every run of ``width`` entries, whatever text they belong to."""
+    """A hash for every run of ``width`` entries, whatever text they belong to; windows of powers of two are joined."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hash(mix(hashes + np.uint64(0x5851F42D4C957F2D)) if second else hashes, at, at + width, _WORDS2 if second else _WORDS)
+    out, at, power, own = None, 0, 1, hashes
+    while True:
+        if width & power:
+            own_n = own[at : at + n]
+            out = own_n if out is None else joined_hash(out, own_n, second)
+            at += power
+        if 2 * power > width:
+            return mix(out + np.uint64(width)) if width > 1 else out.copy()
+        own = joined_hash(own[:-power], own[power:], second)
+        power *= 2
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:

@@ -60,7 +60,7 @@ def _lines(texts: K.Texts, word_sums: np.ndarray, char_sums: np.ndarray) -> tupl
     ends = np.where(last, texts.offsets[group + 1], np.append(starts[1:], 0) - 1)
     filled = word_sums[ends] > word_sums[starts]
     starts, ends, group = starts[filled], ends[filled], group[filled]
-    keys = K.span_hash(texts.data.astype(np.uint64) + np.uint64(1), starts, ends)
+    keys = K.byte_hash(texts.data, starts, ends)
     _, again = K.repeated(keys, group)
     chars = char_sums[ends] - char_sums[starts]
     return np.bincount(group[again], minlength=n), np.bincount(group[again], chars[again], minlength=n).astype(np.int64)

@@ -1,11 +1,17 @@
 """Secret scan: fixed rules, and formats learnt by grammar inference.
 
-For each format of a table of labelled credentials a prefix tree is built over character
-symbols, and states whose outgoing frequencies are statistically compatible (Hoeffding
-bounds, checked along all common continuations) are merged, lowest states first.  The result
-is a probabilistic automaton; a candidate token is scored by its log-likelihood in each
-automaton against a background model of ordinary tokens, and the best format above
-``MIN_BITS`` names the span.  All tokens of the text's long-token class are candidates.
+For each format of a table of labelled credentials a prefix tree is built, and states whose
+frequencies are statistically compatible (Hoeffding bounds, checked along all common
+continuations, down to the ends) are merged, the best attested first.  The result is a
+probabilistic automaton over characters: a step is taken by a symbol, which is a character
+that the labelled tokens of the format share at that place, a mark, or any other character,
+and a state gives each class of those a probability.  Steps tell a format's fixed parts and
+its length, classes its alphabet.
+
+A candidate token is scored by its log-likelihood in each automaton against a background:
+automata inferred in the same way from ordinary tokens of many shapes, random identifiers
+among them.  The best format above ``MIN_BITS`` names the span.  All tokens of the text's
+long-token class are candidates.
 
 Cases: a null or empty text has no spans; a null id is passed on; repeated rows give one
 result each; an empty table gives no rows; other columns are not read.
@@ -56,11 +62,15 @@ FORMATS = {
 }
 KINDS = (*BASE_KINDS, *FORMATS)
 
-EXAMPLES, SEED = 80, 17
+EXAMPLES, SEED = 160, 17
 #: Bound of the chance of keeping apart two states that behave alike.
 ALPHA = 0.05
-FLOOR = 2.0**-10
-MIN_BITS = 12.0
+#: Probabilities, in bits, of a step or a class that no example took and of an end where none ended.
+UNSEEN, NO_END = -12.0, -24.0
+#: Bits by which a format must be more likely than the background.
+MIN_BITS = 2.0
+#: Places at the front where a character can be a symbol of its own, and the share of examples that must have it there.
+FRONT, SHARE = 8, 0.15
 
 
 def labelled(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str]]:
@@ -75,6 +85,15 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str]]:
     shapes = (
         lambda: draw(LOWER, rng.randint(16, 30)),
         lambda: draw(UPPER, rng.randint(16, 24)),
+        lambda: draw(ALNUM, rng.randint(16, 64)),
+        lambda: draw(ALNUM + "_-", rng.randint(16, 64)),
+        lambda: draw(LOWER + DIGITS, rng.randint(16, 40)),
+        lambda: draw(UPPER + DIGITS, rng.randint(16, 40)),
+        lambda: draw(DIGITS + "abcdef", rng.randint(16, 64)),
+        lambda: "".join(word().title() for _ in range(rng.randint(3, 8))),
+        lambda: "_".join(word().upper() for _ in range(rng.randint(3, 6))),
+        lambda: "_".join(rng.choice((word(), word().title(), draw(DIGITS, 2))) for _ in range(rng.randint(4, 7))),
+        lambda: "/".join(rng.choice((word(), word().title(), word().upper(), word() + word().title())) for _ in range(rng.randint(4, 8))),
         lambda: "-".join(word() for _ in range(4)),
         lambda: "_".join(word() for _ in range(4)),
         lambda: "/".join(word() for _ in range(4)),
@@ -96,16 +115,22 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str]]:
     return rows
 
 
-def symbols(token: str) -> list[str]:
-    """The first four characters as they are, then classes, with ``~`` for one of the two characters before; punctuation as it is."""
+#: Characters of a class, by its name; ``~`` stands for one of the two characters before.
+CLASSES = {"a": 6, "z": 20, "A": 6, "Z": 20, "0": 10, "~": 2}
+#: Characters that are marks of a format if this share of its examples has the same number of them, one at least.
+MARKS, STEADY = ".-", 0.9
+
+
+def classes(token: str) -> list[str]:
+    """The class of every character; a mark is a class of its own."""
     out = []
     for i, c in enumerate(token):
-        if i >= 4 and c in token[i - 2 : i]:
+        if i > 1 and c in token[i - 2 : i]:
             out.append("~")
-        elif i < 4 or not c.isalnum():
-            out.append(c)
-        else:
+        elif c.isalnum():
             out.append("0" if c.isdigit() else ("a" if c <= "f" else "z") if c.islower() else ("A" if c <= "F" else "Z"))
+        else:
+            out.append(c)
     return out
 
 
@@ -113,7 +138,9 @@ def symbols(token: str) -> list[str]:
 class State:
     total: int = 0
     ends: int = 0
+    depth: int = 0
     counts: Counter = field(default_factory=Counter)
+    kinds: Counter = field(default_factory=Counter)
     next: dict[str, int] = field(default_factory=dict)
 
 
@@ -121,16 +148,22 @@ class Automaton:
     """A probabilistic deterministic automaton, inferred by merging states of a prefix tree."""
 
     def __init__(self, tokens: list[str], alpha: float = ALPHA):
+        fronts = Counter((i, c) for t in tokens for i, c in enumerate(t[:FRONT]))
+        self.front = {key for key, n in fronts.items() if n > SHARE * len(tokens)}
+        usual = {c: Counter(t.count(c) for t in tokens).most_common(1)[0] for c in MARKS}
+        self.marks = {c for c, (n, times) in usual.items() if n and times > STEADY * len(tokens)}
         self.states: dict[int, State] = {0: State()}
         for token in tokens:
             at = 0
-            for c in symbols(token):
+            for c, kind in zip(self.symbols(token), classes(token), strict=True):
                 s = self.states[at]
                 s.total += 1
                 s.counts[c] += 1
+                if c == "x":
+                    s.kinds[kind] += 1
                 if c not in s.next:
                     s.next[c] = len(self.states)
-                    self.states[s.next[c]] = State()
+                    self.states[s.next[c]] = State(depth=s.depth + 1)
                 at = s.next[c]
             self.states[at].total += 1
             self.states[at].ends += 1
@@ -138,7 +171,11 @@ class Automaton:
         self._infer()
         self._score()
 
-    def _alike(self, x: int, y: int, depth: int = 40) -> bool:
+    def symbols(self, token: str) -> list[str]:
+        """A shared character at the front, or a mark, with an equals sign before it; else ``x``."""
+        return ["=" + c if (i, c) in self.front or c in self.marks else "x" for i, c in enumerate(token)]
+
+    def _alike(self, x: int, y: int, depth: int = 160) -> bool:
         todo = [(x, y, 0)]
         while todo:
             x, y, d = todo.pop()
@@ -146,13 +183,15 @@ class Automaton:
             if not a.total or not b.total:
                 continue
             limit = self.bound * (1 / sqrt(a.total) + 1 / sqrt(b.total))
-            if abs(a.ends / a.total - b.ends / b.total) > limit:
-                return False
-            for c in a.counts.keys() | b.counts.keys():
-                if abs(a.counts[c] / a.total - b.counts[c] / b.total) > limit:
+            if limit < 1:  # else nothing can differ enough
+                if abs(a.ends / a.total - b.ends / b.total) > limit:
+                    return False
+                if any(abs(a.counts[c] / a.total - b.counts[c] / b.total) > limit for c in a.counts.keys() | b.counts.keys()):
                     return False
-                if d < depth and c in a.next and c in b.next and a.next[c] != b.next[c]:
-                    todo.append((a.next[c], b.next[c], d + 1))
+                if any(abs(a.kinds[c] / a.total - b.kinds[c] / b.total) > limit for c in a.kinds.keys() | b.kinds.keys()):
+                    return False
+            if d < depth:
+                todo += [(a.next[c], b.next[c], d + 1) for c in a.next.keys() & b.next.keys() if a.next[c] != b.next[c]]
         return True
 
     def _fold(self, into: int, other: int) -> None:
@@ -165,6 +204,7 @@ class Automaton:
             a.total += b.total
             a.ends += b.ends
             a.counts.update(b.counts)
+            a.kinds.update(b.kinds)
             for c, z in b.next.items():
                 if c in a.next:
                     todo.append((a.next[c], z))
@@ -172,31 +212,43 @@ class Automaton:
                     a.next[c] = z
 
     def _infer(self) -> None:
-        red = [0]
+        """Red states stay; the best attested state next to them merges with a compatible red one, of its own depth if there is one, or turns red."""
+        red, seen = [0], {0}
         while True:
-            blue = [(r, c, t) for r in red for c, t in sorted(self.states[r].next.items()) if t not in red]
+            blue = [(r, c, t) for r in red for c, t in sorted(self.states[r].next.items()) if t not in seen]
             if not blue:
                 return
-            source, c, at = blue[0]
-            for r in red:
+            source, c, at = max(blue, key=lambda b: (self.states[b[2]].total, -self.states[b[2]].depth))
+            depth = self.states[at].depth
+            for r in sorted(red, key=lambda r: (self.states[r].depth != depth, abs(self.states[r].depth - depth), r)):
                 if self._alike(r, at):
                     self.states[source].next[c] = r
                     self._fold(r, at)
                     break
             else:
                 red.append(at)
+                seen.add(at)
 
     def _score(self) -> None:
-        self.bits = {k: {c: log2(n / s.total) for c, n in s.counts.items()} for k, s in self.states.items()}
-        self.end = {k: log2(max(s.ends / s.total, FLOOR)) if s.total else log2(FLOOR) for k, s in self.states.items()}
-
-    def likelihood(self, seen: list[str]) -> float:
-        """Base-2 log-likelihood; a step that no example took costs the floor and ends the walk's state where it is."""
-        at, total, floor = 0, 0.0, log2(FLOOR)
-        for c in seen:
-            total += self.bits[at].get(c, floor)
-            at = self.states[at].next.get(c, at)
-        return total + self.end[at]
+        self.steps, self.kinds, self.ends = {}, {}, {}
+        for k, s in self.states.items():
+            self.steps[k] = {c: (log2(n / s.total), s.next[c]) for c, n in s.counts.items()}
+            free = sum(s.kinds.values())
+            self.kinds[k] = {c: log2(n / free / CLASSES.get(c, 1)) for c, n in s.kinds.items()}
+            self.ends[k] = log2(s.ends / s.total) if s.ends else NO_END
+
+    def likelihood(self, token: str, kinds: list[str]) -> float:
+        """Base-2 log-likelihood of the characters; what no example did costs its floor, and a step without a state stays where it is."""
+        at, total = 0, 0.0
+        front, marks, steps, known = self.front, self.marks, self.steps, self.kinds
+        for i, (c, kind) in enumerate(zip(token, kinds, strict=True)):
+            symbol = "=" + c if (i < FRONT and (i, c) in front) or c in marks else "x"
+            here = at
+            bits, at = steps[at].get(symbol, (UNSEEN, at))
+            total += bits
+            if symbol == "x":
+                total += known[here].get(kind, UNSEEN)
+        return total + self.ends[at]
 
 
 class Model:
@@ -205,19 +257,14 @@ class Model:
     def __init__(self, rows: list[tuple[str, str]]):
         learnt = {k: Automaton([t for t, label in rows if label == k]) for k in dict.fromkeys(label for _, label in rows)}
         self.automata = {k: a for k, a in learnt.items() if k[0] != "-"}
-        self.ordinary = [a for k, a in learnt.items() if k[0] == "-"]
-        plain = Counter(c for t, label in rows if label[0] == "-" for c in symbols(t))
-        total = sum(plain.values())
-        self.plain = {c: log2((n + 0.5) / (total + 64)) for c, n in plain.items()}
-        self.rare = log2(0.5 / (total + 64))
-        ends = sum(label[0] == "-" for _, label in rows)
-        self.stop = log2(ends / (total + ends))
+        # and one that merges all ordinary shapes, for tokens like none of them
+        self.ordinary = [a for k, a in learnt.items() if k[0] == "-"] + [Automaton([t for t, label in rows if label[0] == "-"], alpha=1e-300)]
 
     def score(self, token: str) -> tuple[float, str]:
-        """The best format and its bits over the background: the best of the ordinary shapes and of single symbols."""
-        seen = symbols(token)
-        background = max(sum(self.plain.get(c, self.rare) for c in seen) + self.stop, *(a.likelihood(seen) for a in self.ordinary))
-        return max((a.likelihood(seen) - background, k) for k, a in self.automata.items())
+        """The best format and its bits over the background, the likeliest ordinary shape."""
+        kinds = classes(token)
+        background = max(a.likelihood(token, kinds) for a in self.ordinary)
+        return max((a.likelihood(token, kinds) - background, k) for k, a in self.automata.items())
 
 
 @lru_cache(maxsize=2)

@@ -59,7 +59,7 @@ def shingle_sets(texts: K.Texts, width: int = WIDTH) -> tuple[np.ndarray, np.nda
     found = K.words(texts, K.SPACED, data)
     hashes, first = K.word_hashes(data, found), found.first
     grams = K.window_hashes(hashes, width)
-    whole = K.span_hash(hashes, first[:-1], first[1:], K._WORDS)
+    whole = K.span_hash(hashes, first[:-1], first[1:])
     sets = []
     for t, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if b - a >= width:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,12 +25,18 @@ def digest(text: str) -> str:
 
 def free(spans: list[Span], base: list[Span]) -> list[Span]:
     """Those of ``spans`` that share no character with a base span or an earlier one of their own."""
-    taken = sorted((a, b) for a, b, _ in base)
-    out = []
+    taken: list[list[int]] = []
+    for a, b, _ in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+    out: list[Span] = []
     for a, b, k in sorted(spans):
-        if all(b <= x or y <= a for x, y in taken):
+        near = bisect_left(starts, b) - 1
+        if (near < 0 or taken[near][1] <= a) and (not out or out[-1][1] <= a):
             out.append((a, b, k))
-            taken.append((a, b))
     return out
 
 

@@ -4,12 +4,14 @@ Every text is a sequence of words; the fingerprints of a text are, in each run o
 consecutive k-gram hashes, the rightmost smallest one.  A span of ``k + window - 1`` words
 that a document shares with a benchmark item holds a run of the same k-gram hashes on both
 sides, so both sides select the same k-gram in it: no shared span of that length is missed.
-Matching fingerprints are extended to both sides and count when they reach ``span`` words.
-Items with fewer words are looked up whole, by hashes of their own length.
 
-The benchmark is a stated query set.  It is dealt into blocks of bounded bytes; a block goes
-to all executors and documents never shuffle, whatever the size of the benchmark: more blocks
-mean more passes over the documents, one after another.
+Documents and items are winnowed alike and their fingerprints joined.  Around every match in
+a document the windows of ``span`` words that hold the matching k-gram are joined with the
+windows of the items, on two independent 64-bit hashes of their words; those that match are
+the hits, and overlapping ones extend to spans.  Items with fewer words have one window, of
+their own length, which is its own fingerprint.  One pass reads all documents and a second
+one those with a match, whatever the size of the benchmark; texts never shuffle unless more
+than ``BROADCAST_ROWS`` of them match.
 
 Cases: a null text has no words, a null or empty item no windows; items with a null id are
 not items; rows of equal id and text count once as items and once each as documents; the
@@ -22,22 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from . import spread
 from .scratch import modest, stored
 
 #: Words of a window of an item.
 SPAN = 13
 #: Words of a k-gram; with it goes a window of ``SPAN - GRAM + 1`` k-grams.
 GRAM = 6
-#: Bytes of item texts that one block holds at most (a longer item is a block of its own).
-BLOCK_BYTES = 8 << 20
+#: Rows of three numbers, at most, that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_SHORT = np.uint64(0x94D049BB133111EB)
 
 
 def selected(grams: np.ndarray, run: int) -> np.ndarray:
-    """Places of the rightmost minimum in every run of ``run`` consecutive hashes."""
+    """Places of the rightmost minimum in every run of ``run`` consecutive hashes, a place for each run."""
     n = len(grams) - run + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -47,185 +51,204 @@ def selected(grams: np.ndarray, run: int) -> np.ndarray:
         better = other <= best
         best[better] = other[better]
         at[better] = np.flatnonzero(better) + step
-    return np.unique(at)
-
-
-class Block:
-    """Fingerprints of a block of items, ready for lookups: the state a task needs."""
-
-    def __init__(self, items: list[tuple[str, str]], span: int, gram: int):
-        self.span, self.gram = span, gram
-        self.ids = sorted({i for i, _ in items})
-        place = {i: n for n, i in enumerate(self.ids)}
-        hashes, prints, short = [], [], {}
-        at = 0
-        for name, text in items:
-            own = _hashes([text])[0]
-            if 0 < len(own) < span:
-                key = K.window_hashes(own, len(own))[0]
-                short.setdefault(len(own), {}).setdefault(int(key), set()).add(place[name])
-            elif len(own):
-                grams = K.window_hashes(own, gram)
-                picked = selected(grams, span - gram + 1)
-                prints.append((grams[picked], at + picked, np.full(len(picked), place[name]), np.full(len(picked), at), np.full(len(picked), at + len(own))))
-                hashes.append(own)
-                at += len(own)
-        self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        cols = [np.concatenate(c) for c in zip(*prints, strict=True)] if prints else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 4
-        order = np.argsort(cols[0], kind="stable")
-        self.prints, self.at, self.item, self.low, self.high = (c[order] for c in cols)
-        self.short = {n: (np.array(sorted(d), np.uint64), [sorted(d[k]) for k in sorted(d)]) for n, d in short.items()}
-        # a first, rough test: 16 bits of the hash
-        self.rough = np.zeros(1 << 16, bool)
-        self.rough[(self.prints >> np.uint64(48)).astype(np.int64)] = True
-
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which words are hit, and (text, item) pairs of occurring windows."""
-        total, pairs = len(hashes), [np.zeros((0, 2), np.int64)]
-        hit = np.zeros(total, bool)
-        group = K.owner(first)
-        span, gram = self.span, self.gram
-        grams = K.window_hashes(hashes, gram)
-        if len(self.prints) and len(grams):
-            ok = K.window_starts(first, gram)
-            near = np.flatnonzero(ok & self.rough[(grams >> np.uint64(48)).astype(np.int64)])
-            left = np.searchsorted(self.prints, grams[near], "left")
-            count = np.searchsorted(self.prints, grams[near], "right") - left
-            near, left, count = near[count > 0], left[count > 0], count[count > 0]
-            doc = np.repeat(near, count)
-            row = np.repeat(left - np.cumsum(count) + count, count) + np.arange(len(doc))
-            item, low, high = self.item[row], self.low[row], self.high[row]
-            there = self.at[row]
-            same = hashes[doc[:, None] + np.arange(gram)] == self.words[there[:, None] + np.arange(gram)]
-            whole = same.all(axis=1)
-            doc, there, item, low, high = (x[whole] for x in (doc, there, item, low, high))
-            begin, end = first[group[doc]], first[group[doc] + 1]
-            back = np.zeros(len(doc), np.int64)
-            ahead = np.zeros(len(doc), np.int64)
-            for reach, sign, edge in ((back, -1, 0), (ahead, 1, gram - 1)):
-                going = np.ones(len(doc), bool)
-                for step in range(1, span - gram + 1):
-                    x, y = doc + sign * step + (edge if sign > 0 else 0), there + sign * step + (edge if sign > 0 else 0)
-                    going &= (x >= begin) & (x < end) & (y >= low) & (y < high)
-                    going[going] = hashes[x[going]] == self.words[y[going]]
-                    reach[going] = step
-            long = back + gram + ahead >= span
-            doc, item, back, ahead = (x[long] for x in (doc, item, back, ahead))
-            hit |= _spans(doc - back, doc + gram + ahead, total)
-            pairs.append(np.unique(np.stack([group[doc], item], axis=1), axis=0))
-        for width, (keys, items) in self.short.items():
-            own = K.window_hashes(hashes, width)
-            at = np.flatnonzero(K.window_starts(first, width))
-            place = np.searchsorted(keys, own[at])
-            place[place == len(keys)] = 0
-            match = keys[place] == own[at]
-            at, place = at[match], place[match]
-            if len(at):
-                hit |= K.covered(at, width, total)
-                found = np.unique(np.stack([group[at], place], axis=1), axis=0)
-                pairs.append(np.array([(g, i) for g, p in found for i in items[p]], np.int64).reshape(-1, 2))
-        return hit, pairs
-
-
-def _spans(starts: np.ndarray, ends: np.ndarray, total: int) -> np.ndarray:
-    delta = np.bincount(starts, minlength=total + 1) - np.bincount(ends, minlength=total + 1)
-    return np.cumsum(delta[:total]) > 0
-
-
-def _hashes(texts: list[str]) -> list[np.ndarray]:
-    out = []
-    for part in K.chunks(pa.array(texts, pa.string())):
-        data = K.LOWER[part.data]
-        found = K.words(part, K.ALNUM, data)
-        own = K.word_hashes(data, found)
-        out += [own[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
-    return out
-
-
-def _merge(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-SPANS, NAMES = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
-
-
-def _scan(batches: Iterator[pa.RecordBatch], block: Block, last: bool) -> Iterator[pa.RecordBatch]:
-    """Columns key, text and, after the first block, n_words, spans, items; the last block drops the text."""
+    return at
+
+
+def _short_key(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprint of a whole item of ``width`` words, apart from those of k-grams."""
+    return K.mix(hashes + _SHORT * np.uint64(width))
+
+
+def _prints(hashes: np.ndarray, first: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the fingerprints of texts, in their order."""
+    grams = K.window_hashes(hashes, gram)
+    at = selected(grams, span - gram + 1)
+    at = np.unique(at[K.window_starts(first, span)[: len(at)]])
+    return at, grams[at]
+
+
+def _read(column: pa.Array):
+    for texts in K.chunks(column):
+        data = K.LOWER[texts.data]
+        found = K.words(texts, K.ALNUM, data)
+        yield texts, data, found, K.word_hashes(data, found)
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """The distinct values of each of ``n`` owners."""
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    owner, values = owner[new], values[new]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], span: int, gram: int, shorts: dict[int, np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+    """Columns u, t, doc_id, text: the fingerprints of every text, with those of ``shorts``, a sorted choice by width (null: all)."""
+    for batch in batches:
+        for texts, _, found, hashes in _read(batch.column(3)):
+            n, group = len(found.first) - 1, K.owner(found.first)
+            at, values = _prints(hashes, found.first, span, gram)
+            owners, prints = [group[at]], [values]
+            for width, some in shorts.items():
+                at = np.flatnonzero(K.window_starts(found.first, width))
+                values = _short_key(K.window_hashes(hashes, width)[at], width)
+                if some is not None:
+                    place = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                    at, values = at[some[place] == values], values[some[place] == values]
+                owners.append(group[at])
+                prints.append(values)
+            part = batch.slice(texts.rows.start, n)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(found.first)), _lists(np.concatenate(owners), np.concatenate(prints), n)], ["u", "t", "doc_id", "n", "prints"])
+
+
+def _items(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Columns item, text: width of its windows, fingerprints, and both hashes of its windows, for each item with words."""
+    for batch in batches:
+        for texts, data, found, hashes in _read(batch.column(1)):
+            second = K.word_hashes(data, found, second=True)
+            rows = []
+            for k, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)):
+                if a < b:
+                    own, other, width = hashes[a:b], second[a:b], min(b - a, span)
+                    h1, h2 = K.window_hashes(own, width), K.window_hashes(other, width, second=True)
+                    prints = _prints(own, np.array([0, b - a]), span, gram)[1] if width == span else _short_key(h1, width)
+                    rows.append((batch.column(0)[texts.rows.start + k].as_py(), width, *(np.unique(x, axis=-1) for x in (prints.view(np.int64), np.stack([h1, h2]).view(np.int64)))))
+            names, widths, prints, windows = zip(*rows, strict=True) if rows else ((), (), (), ())
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(widths, pa.int32()), pa.array(list(prints), many), pa.array([w[0] for w in windows], many), pa.array([w[1] for w in windows], many)],
+                ["item", "width", "prints", "h1", "h2"],
+            )
+
+
+def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, widths: list[int]) -> Iterator[pa.RecordBatch]:
+    """Columns u, t, text, prints (that an item has): the windows around those, one row for all places of a window in its text."""
     for batch in batches:
-        before = batch.num_columns > 2
-        for texts in K.chunks(batch.column(1)):
-            data = K.LOWER[texts.data]
-            found = K.words(texts, K.ALNUM, data)
-            hit, pairs = block.hits(K.word_hashes(data, found), found.first)
-            n, at = len(found.first) - 1, texts.rows.start
-            spans: list[list[list[int]]] = batch.column(3).slice(at, n).to_pylist() if before else [[] for _ in range(n)]
-            items = [set(x) for x in batch.column(4).slice(at, n).to_pylist()] if before else [set() for _ in range(n)]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            for a, b in edge.reshape(-1, 2):  # runs that touch at a border between texts are cut there
-                t = int(np.searchsorted(found.first, a, "right")) - 1
-                while a < b:
-                    stop = min(int(b), int(found.first[t + 1]))
-                    if stop > a:
-                        spans[t].append([int(a - found.first[t]), int(stop - found.first[t])])
-                    a, t = stop, t + 1
-            for t, i in np.concatenate(pairs):
-                items[t].add(block.ids[i])
-            columns = {"n_words": pa.array(np.diff(found.first)), "spans": pa.array([_merge(x) for x in spans] if before else spans, SPANS), "items": pa.array([sorted(x) for x in items], NAMES)}
-            columns = {"key": batch.column(0).slice(at, n)} | ({} if last else {"text": batch.column(1).slice(at, n)}) | columns
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The distinct items with an id and a text, in blocks of about ``limit`` bytes."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-size // limit))
-    return [items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
-
-
-def _overlaps(rows: DataFrame, benchmark: DataFrame, span: int, gram: int, block_bytes: int) -> DataFrame:
-    """key, text -> key, n_words, spans, items; between blocks the rows are written, so one block is in memory at a time."""
-    modest(rows.sparkSession)
-    key = rows.schema["key"].dataType.simpleString()
-    todo = blocks(benchmark, block_bytes)
-    for k, items in enumerate(todo):
-        last = k == len(todo) - 1
-        block = rows.sparkSession.sparkContext.broadcast(Block([(r.i, r.t) for r in items.collect()], span, gram))
-        schema = f"key {key}, {'' if last else 'text string, '}n_words long, spans array<array<long>>, items array<string>"
-        rows = rows.mapInArrow(lambda it, b=block, end=last: _scan(it, b.value, end), schema)
-        if not last:
-            rows = stored(rows, "winnow")
-    return rows
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        for texts, data, found, hashes in _read(batch.column(2)):
+            n, first, group = len(found.first) - 1, found.first, K.owner(found.first)
+            own = batch.column(3).slice(texts.rows.start, n)
+            wanted = own.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(n), own.value_lengths().to_numpy())
+            pair = lambda text, value: K.joined_hash(text.astype(np.uint64), value)
+            wanted = pair(of, wanted)
+            at, values = _prints(hashes, first, span, gram)
+            at = at[np.isin(pair(group[at], values), wanted)]
+            near = np.unique((at[:, None] - np.arange(span - gram + 1)).ravel())
+            inside = np.flatnonzero(K.window_starts(first, span))
+            places = {span: near[np.isin(near, inside)]}
+            for width in widths:
+                at = np.flatnonzero(K.window_starts(first, width))
+                values = _short_key(K.window_hashes(hashes, width)[at], width)
+                places[width] = at[np.isin(pair(group[at], values), wanted)]
+            second = K.word_hashes(data, found, second=True)
+            part = batch.slice(texts.rows.start, n)
+            for width, at in places.items():
+                if not len(at):
+                    continue
+                h1, h2 = K.window_hashes(hashes, width)[at], K.window_hashes(second, width, second=True)[at]
+                order = np.lexsort((h2, h1, group[at]))
+                at, h1, h2 = at[order], h1[order], h2[order]
+                text = group[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                lead = np.flatnonzero(new)
+                where = pa.ListArray.from_arrays(pa.array(np.append(lead, len(at)), pa.int32()), pa.array((at - first[text]).astype(np.int32)))
+                rows = pa.array(text[lead])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.full(len(lead), width, np.int32)), pa.array(h1[lead].view(np.int64)), pa.array(h2[lead].view(np.int64)), where],
+                    ["u", "t", "width", "h1", "h2", "at"],
+                )
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns u, t, found (lists of width and places): the word ranges that those cover, merged."""
+    for batch in batches:
+        out = []
+        for found in batch.column(2):
+            widths = found.values.field("width").to_numpy()
+            at = found.values.field("at")
+            starts = at.flatten().to_numpy().astype(np.int64)
+            ends = starts + np.repeat(widths, at.value_lengths().to_numpy())
+            order = np.argsort(starts, kind="stable")
+            starts, reach = starts[order], np.maximum.accumulate(ends[order])
+            new = np.append(True, starts[1:] > reach[:-1])
+            out.append(np.stack([starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]], axis=1).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.int64())))], ["u", "t", "spans"])
+
+
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """Two numbers that name a document row by its id and its text."""
+    return F.xxhash64(F.col("doc_id")).alias("u"), F.xxhash64(F.col("text")).alias("t")
+
+
+def _join(big: DataFrame, small: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    return big.join(F.broadcast(small), keys) if few else spread.joined(big, small, keys, F.xxhash64("u", "t"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, span: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``u, t, doc_id, n`` of all rows, and ``u, t, spans, items`` of those with a hit."""
+    modest(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("x")).where("i is not null and x is not null").distinct()
+    items = stored(items.mapInArrow(lambda it: _items(it, span, gram), "item string, width int, prints array<long>, h1 array<long>, h2 array<long>"), "items")
+    keys = stored(items.select("width", F.explode("prints").alias("print")).distinct(), "keys")
+    windows = items.select("item", "width", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("item", "width", "w.h1", "w.h2").distinct()
+    windows = stored(windows, "windows")
+    short = keys.where(F.col("width") < span)
+    widths = sorted(r.width for r in short.select("width").distinct().collect())  # fewer than ``span``
+    shorts: dict[int, np.ndarray | None] = dict.fromkeys(widths)
+    if short.count() <= most:
+        own = short.toPandas()
+        shorts = {w: np.sort(own.print[own.width == w].to_numpy(np.int64).view(np.uint64)) for w in widths}
+
+    named = docs.select(*_keyed(docs), "doc_id", "text")
+    read = stored(named.mapInArrow(lambda it: _fingerprints(it, span, gram, shorts), f"u long, t long, doc_id {kind}, n long, prints array<long>"), "prints")
+    each = read.select("u", "t", F.explode("prints").alias("print"))
+    hits = _join(each, keys.select("print").distinct(), ["print"], keys.count() <= most)
+    hits = stored(hits.groupBy("u", "t").agg(F.collect_set("print").alias("prints")), "hits")
+    few = hits.count() <= most
+    near = named.select("u", "t", "text").join(F.broadcast(hits.select("u", "t")) if few else hits.select("u", "t"), ["u", "t"], "left_semi")
+    near = near.join(hits, ["u", "t"]).select("u", "t", "text", "prints")
+    around = stored(near.mapInArrow(lambda it: _windows(it, span, gram, widths), "u long, t long, width int, h1 long, h2 long, at array<int>"), "around")
+    around = around.dropDuplicates(["u", "t", "width", "h1", "h2"])
+    small = windows.count() <= most
+    full = _join(around, windows.select("width", "h1", "h2").distinct(), ["width", "h1", "h2"], small)
+    spans = full.groupBy("u", "t").agg(F.collect_list(F.struct("width", "at")).alias("found")).mapInArrow(_spans, "u long, t long, spans array<array<long>>")
+    names = _join(around.select("u", "t", "width", "h1", "h2"), windows, ["width", "h1", "h2"], small).select("u", "t", "item").distinct()
+    names = names.groupBy("u", "t").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return read.select("u", "t", "doc_id", "n"), stored(spans.join(names, ["u", "t"]), "hits")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = BROADCAST_ROWS) -> DataFrame:
     """Per document row: ``doc_id, n_words, spans`` (word ranges that occur in an item, ends exclusive, merged), ``items`` (their ids)."""
-    rows = docs.select(F.col("doc_id").alias("key"), "text")
-    return _overlaps(rows, benchmark, span, gram, block_bytes).withColumnRenamed("key", "doc_id")
+    read, hits = _found(docs, benchmark, span, gram, most)
+    out = read.join(F.broadcast(hits) if hits.count() <= most // 100 else hits, ["u", "t"], "left")
+    return out.select("doc_id", F.col("n").alias("n_words"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
     """Counts, the digest of the item ids and the contamination rule, from the rows of ``overlaps``."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select(
-        "doc_id",
+        *(c for c in ("doc_id", "u", "t") if c in found.columns),
         "n_words",
-        n_hit.alias("n_hit"),
+        _hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((_hit() > 0) & (20 * _hit() >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, most: int = BROADCAST_ROWS) -> DataFrame:
     """The rows, whole and unchanged, that the contamination rule leaves."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("key"), "text")
-    found = _overlaps(rows, benchmark, span, gram, block_bytes).withColumnRenamed("key", "doc_id")
-    kept = verdicts(found).where(~F.col("contaminated"))
-    return kept.select(*(F.col("doc_id")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
+    read, hits = _found(docs, benchmark, span, gram, most)
+    sizes = read.join(F.broadcast(hits.select("u", "t")) if hits.count() <= most else hits.select("u", "t"), ["u", "t"], "left_semi").select("u", "t", F.col("n").alias("n_words")).distinct()
+    gone = stored(verdicts(hits.join(sizes, ["u", "t"])).where("contaminated").select(F.col("u").alias("_u"), F.col("t").alias("_t")), "contaminated")
+    u, t = _keyed(docs)
+    same = (u == F.col("_u")) & (t == F.col("_t"))
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti")
