@@ -1,11 +1,12 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page becomes a flat sequence of text blocks.  A block is described by its word count and
-link density, those of the blocks before and after it, and by what encloses it.  A decision
+link density, those of the blocks before and after it, by what encloses it, and by a hint from the
+class names around it.  A decision
 tree, trained on the labelled table that ``labelled`` makes, tells article blocks from the
 rest.
 
-Cases: a null or empty page has an empty text; markup that ends early, tags without an end and
+Cases: a null or empty page has an empty text; markup that ends early, tags without an end (a script or style without one goes on to the end) and
 unknown references are taken as they stand; a null id or url is passed on; repeated rows give
 one result each; an empty table gives no rows; other columns are not read.
 """
@@ -28,6 +29,8 @@ from .scratch import modest
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 #: Names of elements, by their part in a page.
+#: Raw text: without an end tag it goes on to the end of the page.
+RAW = {"script", "style"}
 UNSEEN = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "math", "audio", "video", "datalist"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,18 +38,22 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body"}
 MAIN = {"article", "main"}
 FRAME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "fieldset", "label"}
-HINT = re.compile(
+#: Words of class names that usually mark the frame of a page, and words that often stand in layouts of articles too.
+STRONG = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|comments?|replies|disqus|respond|"
-    r"side-?bar|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|newsletter|subscri\w+|signup|login|"
-    r"footer|masthead|site-?header|topbar|toolbar|search|tags|gdpr|legal|disclaimer|copyright|skip-link)(?:$|[\s_-])",
+    r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|newsletter|subscri\w+|signup|login|footer|masthead|site-?header|topbar|toolbar|search|gdpr|skip-link)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+WEAK = re.compile(r"(?:^|[\s_-])(?:widget|share|sharing|social|related|recommend\w*|tags|legal|disclaimer|copyright)(?=$|[\s_-])", re.IGNORECASE)
 ROLE = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu|menubar)$", re.IGNORECASE)
-BODY_HINT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.IGNORECASE)
+BODY_HINT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in UNSEEN}
+
+
 @dataclass
 class Block:
     text: str
@@ -54,25 +61,27 @@ class Block:
     linked: float
     main: bool
     framed: bool
+    hint: int
     heading: bool
 
 
-def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element holds the article, and whether it is part of the frame around it."""
-    main, framed = name in MAIN, name in FRAME or name == "header" and not in_main
+def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool, int]:
+    """Whether an element holds the article, whether it is part of the frame around it, and what its class names hint at: 2 the frame, 1 perhaps, 0 nothing."""
+    main, framed, hint = name in MAIN, name in FRAME or name == "header" and not in_main, 0
     for key, *value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(value)
         if key in ("class", "id"):
-            if HINT.search(value):
-                framed = True
-            elif BODY_HINT.search(value) and name in ("div", "section", "td"):
+            strong, weak, body = (len(p.findall(value)) for p in (STRONG, WEAK, BODY_HINT))
+            if strong + weak > body:
+                hint = max(hint, 2 if strong else 1)
+            elif body and name in ("div", "section", "td"):
                 main = True
         elif key == "role":
             framed |= bool(ROLE.match(value))
             main |= value.lower() in ("main", "article")
         elif key == "style" and HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
             framed = True
-    return main, framed or bool(re.search(r"\shidden(?:\s|$)", attributes))
+    return main, framed or bool(re.search(r"\shidden(?:\s|$)", attributes)), hint
 
 
 def blocks(page: str) -> list[Block]:
@@ -80,7 +89,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked, link = 0, False
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
     heading = ""
 
     def flush() -> None:
@@ -88,12 +97,12 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                main, framed = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(Block(text, text.count(" ") + 1, min(1.0, linked / max(1, len(text))), main, framed, bool(heading)))
+                out.append(Block(text, text.count(" ") + 1, min(1.0, linked / max(1, len(text))), *(stack[-1][1:] if stack else (False, False, 0)), bool(heading)))
             pieces.clear()
         linked = 0
 
     at, end = 0, len(page)
+    last_close = dict.fromkeys(UNSEEN, end)
     while at < end:
         m = MARKUP.search(page, at)
         stop = m.start() if m else end
@@ -116,11 +125,14 @@ def blocks(page: str) -> list[Block]:
         flush()
         if name in UNSEEN:
             if not closing and not m[0].endswith("/>"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-                if close:
+                close = CLOSE[name].search(page, at) if at <= last_close[name] else None
+                if not close:
+                    last_close[name] = -1  # nor is there one further on
+                    if name in RAW:
+                        at = end
+                elif name in RAW or not any(f"</{s[0]}" in page[at : close.start()].lower() for s in stack):
                     at = close.end()
-                elif name != "head":
-                    at = end
+                # else the element ends before its tag does: what it seems to hold is read as the rest of the page
             continue
         if len(name) == 2 and name[0] == "h" and name[1].isdigit():
             heading = "" if closing else name
@@ -138,17 +150,16 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         elif not m[0].endswith("/>"):
-            was_main, was_framed = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if name in LOOSE and stack and stack[-1][0] == name:
                 stack.pop()
-                was_main, was_framed = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            main, framed = _kind(name, m[3] or m[6] or "", was_main)
-            stack.append((name, was_main or main, was_framed or framed))
+            was_main, was_framed, was_hint = stack[-1][1:] if stack else (False, False, 0)
+            main, framed, hint = _kind(name, m[3] or m[6] or "", was_main)
+            stack.append((name, was_main or main, was_framed or framed, max(was_hint, hint)))
     flush()
     return out
 
 
-FEATURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "in main", "in frame", "heading", "page has main")
+FEATURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "in main", "in frame", "class hint", "heading", "page has main")
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -156,11 +167,11 @@ def features(found: list[Block]) -> np.ndarray:
     own = np.array([(min(b.words, 500), b.linked) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     whole = any(b.main and not b.framed for b in found)
-    flags = np.array([(b.main, b.framed, b.heading, whole) for b in found], float).reshape(-1, 4)
+    flags = np.array([(b.main, b.framed, b.hint, b.heading, whole) for b in found], float).reshape(-1, 5)
     return np.concatenate([own, np.concatenate([edge, own[:-1]])[: len(own)], np.concatenate([own[1:], edge])[: len(own)], flags], axis=1)
 
 
-def labelled(pages: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def labelled(pages: int = 120, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table, by rule: blocks of sketched pages, with and without an article element, and whether each is article text."""
     rng = random.Random(seed)
     rows, labels = [], []
@@ -168,32 +179,43 @@ def labelled(pages: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         whole = k % 2 == 0
         page: list[tuple[Block, bool]] = []
 
-        def add(words: int, linked: float, main: bool, framed: bool, heading: bool, good: bool, page=page) -> None:
-            page.append((Block("", words, linked, main, framed, heading), good))
+        def add(words: int, linked: float, main: bool, framed: bool, hint: int, heading: bool, good: bool, page=page) -> None:
+            page.append((Block("", words, linked, main, framed, hint, heading), good))
 
+        def frame(words: int, linked: float, main: bool, add=add) -> None:
+            """A block of the frame, by its element or its class."""
+            element = rng.random() < 0.5
+            add(words, linked, main, element, rng.choice((0, 2)) if element else 2, False, False)
+
+        weak = 1 if rng.random() < 0.3 else 0  # the article stands in a container with a doubtful class
         for _ in range(rng.randint(2, 8)):
-            add(rng.randint(1, 3), 1.0, False, rng.random() < 0.6, False, False)
-        if rng.random() < 0.5:
-            add(rng.randint(4, 40), rng.choice((0.0, 0.2)), rng.random() < 0.2, True, False, False)
+            if rng.random() < 0.6:
+                frame(rng.randint(1, 3), 1.0, False)
+            else:
+                add(rng.randint(1, 3), 1.0, False, False, 0, False, False)
+        if rng.random() < 0.7:
+            frame(rng.randint(3, 60), rng.choice((0.0, 0.0, 0.2)), rng.random() < 0.2)
         if whole or rng.random() < 0.5:
-            add(rng.randint(2, 12), 0.0, whole, False, True, True)
+            add(rng.randint(2, 25), 0.0, whole, False, 0, True, True)
         for _ in range(rng.randint(1, 12)):
             kind = rng.random()
             if whole and kind < 0.25:
-                add(rng.randint(1, 6), rng.choice((0.0, 0.0, 0.5, 1.0)), True, False, False, True)
-            elif whole and kind < 0.32:
-                add(rng.randint(3, 30), rng.choice((0.0, 1.0)), True, True, rng.random() < 0.3, False)
-            elif not whole and kind < 0.15:
-                add(rng.randint(3, 9), 0.0, False, False, False, True)
+                add(rng.randint(1, 6), rng.choice((0.0, 0.0, 0.5, 1.0)), True, False, 0, False, True)
+            elif whole and kind < 0.34:
+                frame(rng.randint(3, 90), rng.choice((0.0, 0.0, 1.0)), True)
+            elif kind < 0.42:  # links to share, tags, related pages
+                add(rng.randint(1, 12), rng.choice((0.6, 1.0, 1.0)), whole, False, 1, False, False)
+            elif not whole and kind < 0.5:
+                add(rng.randint(3, 9), 0.0, False, False, 0, False, True)
             else:
-                add(rng.randint(12, 160), rng.choice((0.0, 0.0, 0.05, 0.25)), whole, False, False, True)
+                add(rng.randint(12, 160), rng.choice((0.0, 0.0, 0.05, 0.25)), whole, False, weak, False, True)
         for _ in range(rng.randint(0, 5)):
-            add(rng.randint(1, 8), rng.choice((1.0, 1.0, 0.8)), False, rng.random() < 0.5, False, False)
+            add(rng.randint(1, 8), rng.choice((1.0, 1.0, 0.8)), False, rng.random() < 0.5, 0, False, False)
         if whole and rng.random() < 0.5:
-            add(rng.randint(15, 60), rng.choice((0.0, 0.1)), False, False, False, False)
+            add(rng.randint(15, 60), rng.choice((0.0, 0.1)), False, False, 0, False, False)
         for _ in range(rng.randint(0, 3)):
-            add(rng.randint(5, 60), 0.0, rng.random() < 0.3, True, False, False)
-        add(rng.randint(3, 14), rng.choice((0.0, 0.4)), False, True, False, False)
+            frame(rng.randint(5, 90), 0.0, rng.random() < 0.3)
+        add(rng.randint(3, 40), rng.choice((0.0, 0.4)), False, True, 0, False, False)
         rows.append(features([b for b, _ in page]))
         labels += [good for _, good in page]
     return np.concatenate(rows), np.array(labels)

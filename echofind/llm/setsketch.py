@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from . import spread
 from .scratch import modest, stored
 
 WIDTH, PERCENT = 5, 75
@@ -178,14 +179,15 @@ def components(edges: DataFrame) -> DataFrame:
         took = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")), "labels")
         for _ in range(2):
             next_ = took.select(F.col("id").alias("c"), F.col("c").alias("d"))
-            took = stored(took.join(next_, "c").select("id", F.col("d").alias("c")), "labels")
-        ends = left.join(took.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(took.select(F.col("id").alias("b"), F.col("c").alias("y")), "b")
+            took = stored(spread.joined(took, next_, ["c"], F.col("id")).select("id", F.col("d").alias("c")), "labels")
+        ends = spread.joined(left, took.select(F.col("id").alias("a"), F.col("c").alias("x")), ["a"], F.col("b"))
+        ends = spread.joined(ends, took.select(F.col("id").alias("b"), F.col("c").alias("y")), ["b"], F.col("a"), left.groupBy("b").agg(F.count("*").alias("rows")))
         left = drawn("x", "y", ends)
         if label is None:
             label = took
         else:
             next_ = took.select(F.col("id").alias("c"), F.col("c").alias("d"))
-            label = stored(label.join(next_, "c", "left").select("id", F.coalesce("d", "c").alias("c")), "labels")
+            label = stored(spread.joined(label, next_, ["c"], F.col("id"), how="left").select("id", F.coalesce("d", "c").alias("c")), "labels")
     return label
 
 
@@ -264,13 +266,23 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     bound = percent / 100
     sketched = stored(text.mapInArrow(lambda it: _sketches(it, width), f"id {kind}, n long, f1 long, f2 long, bands array<long>, regs binary"), "sketches")
     linkable = sketched.where("n > 0 and id is not null")
-    reps = linkable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    own = linkable.join(reps, ["f1", "f2", "n"])
-    classes = own.where("id = rep").select("id", "n", "bands", "regs")
+    content = ["f1", "f2", "n"]
+    reps = linkable.groupBy(*content).agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    reps = stored(reps.where("rows > 1"), "copied")
+    copies = spread.joined(linkable.select("id", *content), reps.select(*content, "rep"), content, F.col("id"), reps.select(*content, "rows"))
+    copies = stored(copies.where("id != rep").select("id", *content, "rep").distinct(), "copies")
+    few_copies = copies.count() <= BROADCAST_IDS
+
+    def with_copies(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(ids) if few_copies else ids, ["id", *content], how)
+
+    classes = with_copies(linkable, copies.select("id", *content), "left_anti").select("id", "n", "bands", "regs")
 
     bands = classes.select("id", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    shared = stored(bands.join(ends, "band"), "bands")
+    ends = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    ends = stored(ends, "ends")
+    sizes = ends.select("band", "rows")
+    shared = stored(spread.joined(bands, ends.drop("rows"), ["band"], F.col("id"), sizes), "bands")
 
     ids = stored(shared.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -283,11 +295,14 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         """The linked ones of distinct pairs (a, b)."""
         x = regs.select(F.col("id").alias("a"), "n", F.col("regs").alias("r"))
         y = regs.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("regs").alias("s"))
-        near = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "r", "s")
-        near = near.mapInArrow(lambda it: _near(it, bound), f"a {kind}, b {kind}")
+        pairs = stored(pairs, "pairs")
+        many = [pairs.groupBy(side).agg(F.count("*").alias("rows")) for side in ("a", "b")]
+        near = spread.joined(spread.joined(pairs, x, ["a"], F.col("b"), many[0]), y, ["b"], F.col("a"), many[1]).select("a", "b", "n", "m", "r", "s")
+        near = stored(near.mapInArrow(lambda it: _near(it, bound), f"a {kind}, b {kind}"), "pairs")
+        many = [near.groupBy(side).agg(F.count("*").alias("rows")) for side in ("a", "b")]
         x = members.select(F.col("id").alias("a"), F.col("members").alias("x"))
         y = members.select(F.col("id").alias("b"), F.col("members").alias("y"))
-        full = near.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        full = spread.joined(spread.joined(near, x, ["a"], F.col("b"), many[0]), y, ["b"], F.col("a"), many[1]).select("a", "b", "x", "y")
         return stored(full.mapInArrow(lambda it: _confirmed(it, percent), f"a {kind}, b {kind}"), "links")
 
     first = confirm(shared.groupBy(F.col("id").alias("a")).agg(F.min("lo").alias("b")).where("a != b"))
@@ -297,7 +312,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         """The members of bands that hold more than one component, with their component ``c``."""
         now = shared.join(label, "id", "left").select("band", "id", "lo", "hi", F.coalesce("c", "id").alias("c"))
         mixed = now.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("band")
-        return now.join(mixed, "band")
+        return spread.joined(now, mixed, ["band"], F.col("id"), sizes)
 
     def wider(label: DataFrame, found: DataFrame) -> DataFrame:
         if not found.limit(1).count():
@@ -307,17 +322,19 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     left = stored(open_bands(label), "open")
     if left.limit(1).count():
         # the hub of a band: its member that meets the most others over all bands
-        sizes = left.groupBy("band").agg(F.count("*").alias("size"))
-        meets = left.select("band", "id").join(sizes, "band").groupBy("id").agg(F.sum("size").alias("meets"))
+        here = stored(left.groupBy("band").agg(F.count("*").alias("rows")), "open-sizes")
+        meets = spread.joined(left.select("band", "id"), here.select("band", F.col("rows").alias("size")), ["band"], F.col("id"), here)
+        meets = meets.groupBy("id").agg(F.sum("size").alias("meets"))
         hubs = left.select("band", "id").join(meets, "id").groupBy("band").agg(F.max(F.struct("meets", "id")).alias("hub"))
-        spokes = left.join(hubs, "band").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "c")
-        spokes = spokes.join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b", "left").where("c != coalesce(d, b)")
+        spokes = spread.joined(left, hubs, ["band"], F.col("id"), here).select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "c").distinct()
+        spokes = spread.joined(spokes, label.select(F.col("id").alias("b"), F.col("c").alias("d")), ["b"], F.col("a"), how="left").where("c != coalesce(d, b)")
         label = wider(label, confirm(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         left = stored(open_bands(label), "open")
         if left.limit(1).count():
             label = wider(label, _rest(left, regs, members, percent, kind))
 
-    placed = own.select("id", "n", "rep").join(label.select(F.col("id").alias("rep"), "c"), "rep", "left")
+    own = with_copies(linkable.select("id", *content), copies, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    placed = spread.joined(own, label.select(F.col("id").alias("rep"), "c"), ["rep"], F.xxhash64("id"), how="left")
     placed = placed.select("id", "n", F.coalesce("c", "rep").alias("c"))
     alone = sketched.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
     return placed.union(alone).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key that holds more than this part of all rows, and more than ``LEAST`` rows, is dealt over several tasks.
-PARTS, LEAST = 2000, 100
+PARTS, LEAST = 2000, 200
 
 
 def joined(big: DataFrame, small: DataFrame, keys: list[str], by: Column, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
@@ -18,11 +18,11 @@ def joined(big: DataFrame, small: DataFrame, keys: list[str], by: Column, sizes:
     """
     if sizes is None:
         sizes = big.groupBy(*keys).agg(F.count("*").alias("rows"))
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    bound = max(LEAST, total // PARTS)
-    hot = sizes.where(F.col("rows") > bound).select(*keys, F.ceil(F.col("rows") / bound).cast("int").alias("_salts")).collect()
-    if not hot:
+    whole = sizes.agg(F.sum("rows").alias("total"), F.max("rows").alias("most")).first()
+    bound = max(LEAST, (whole.total or 0) // PARTS)
+    if (whole.most or 0) <= bound:
         return big.join(small, keys, how)
+    hot = sizes.where(F.col("rows") > bound).select(*keys, F.ceil(F.col("rows") / bound).cast("int").alias("_salts")).collect()
     spark = big.sparkSession
     named = F.broadcast(spark.createDataFrame(hot, sizes.select(*keys, F.lit(0).alias("_salts")).schema))
     dealt = big.join(named, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")

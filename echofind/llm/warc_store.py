@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spread
 from .scratch import stored
 
 REVISIT_BYTES = 1000
@@ -36,7 +37,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _record_id(page: Column) -> Column:
-    h = F.md5(F.coalesce(page.cast("string"), F.lit("")))
+    h = F.md5(F.coalesce(page.cast("string"), F.lit("")))  # rows that share a page id share it: they are captures of one record
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -52,11 +53,12 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     records = _records(pages)
     second = F.xxhash64("payload")
     same = (F.min(second) == F.max(second)) & (F.min("bytes") == F.max("bytes"))
-    groups = records.groupBy("sha256").agg(F.max("page_id").alias("holder"), same.alias("same"))
+    groups = records.groupBy("sha256").agg(F.max("page_id").alias("holder"), F.count("*").alias("rows"), same.alias("same"))
     checked = F.when(~F.col("same"), F.raise_error(F.lit("payloads of one digest differ"))).otherwise(F.col("sha256"))
-    groups = stored(groups.select(checked.alias("sha256"), "holder"), "warc-groups")
+    groups = stored(groups.select(checked.alias("sha256"), "holder", "rows"), "warc-groups")
+    named, sizes = groups.select("sha256", "holder"), groups.select("sha256", "rows")
 
-    placed = records.drop("payload").join(groups, "sha256")
+    placed = spread.joined(records.drop("payload"), named, ["sha256"], F.xxhash64("page_id", "url"), sizes)
     revisit = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("holder"))
     kind = F.when(revisit, "revisit").otherwise("response")
     header = F.concat(
@@ -76,8 +78,10 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     placed.select(header.alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
 
     # the holder's row brings the bytes
+    several = groups.where("rows > 1")
     narrow = records.select("page_id", "sha256")
-    copies = narrow.join(groups, "sha256").where(~F.col("page_id").eqNullSafe(F.col("holder"))).select("page_id", "sha256").distinct()
+    copies = spread.joined(narrow, several.select("sha256", "holder"), ["sha256"], F.col("page_id"), several.select("sha256", "rows"))
+    copies = stored(copies.where(~F.col("page_id").eqNullSafe(F.col("holder"))).select("page_id", "sha256").distinct(), "warc-copies")
     repeats = pages.groupBy("page_id").count().where("count > 1").limit(1).count()
     if not repeats and copies.count() <= BROADCAST_ROWS:
         named = copies.select(F.col("page_id").alias("p"), F.col("sha256").alias("s"))
@@ -96,11 +100,14 @@ def _field(name: str) -> Column:
 def read_archive(spark: SparkSession, path: str, page_type: str = "bigint") -> DataFrame:
     """The records of an archive: ``page_id, url, record_type, refers_to, payload_digest, payload_bytes, header, payload``.
 
-    Every payload is verified against the digests and the length; a mismatch fails the query.
+    Every payload is verified, once, against its SHA-256, and its SHA-1 and length against every
+    record; a mismatch fails the query.
     """
     headers = spark.read.schema("header string, sha256 string").parquet(f"{path}/headers")
     payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    found = headers.join(payloads, "sha256").select(
+    own = F.when(F.sha2("payload", 256) == F.col("sha256"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")))
+    payloads = payloads.select("sha256", own.alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), "payload")
+    records = headers.select(
         _field("X-Page").cast(page_type).alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
         _field("WARC-Type").alias("record_type"),
@@ -108,12 +115,12 @@ def read_archive(spark: SparkSession, path: str, page_type: str = "bigint") -> D
         F.substring(_field("WARC-Payload-Digest"), 6, 40).alias("payload_digest"),
         _field("X-Payload-Length").cast("long").alias("payload_bytes"),
         "header",
-        "payload",
         "sha256",
     )
-    good = (F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
+    found = spread.joined(records, payloads, ["sha256"], F.xxhash64("header"), headers.groupBy("sha256").agg(F.count("*").alias("rows")))
+    good = (F.col("sha1") == F.col("payload_digest")) & (F.col("bytes") == F.col("payload_bytes"))
     checked = F.when(good, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not match its record")))
-    return found.withColumn("payload_digest", checked).drop("sha256")
+    return found.withColumn("payload_digest", checked).select("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "header", "payload")
 
 
 def record_text(records: DataFrame) -> DataFrame:

@@ -73,3 +73,25 @@ def test_archive(spark, tmp_path):
     assert seen == 7
     warc_store.write_archive(pages(spark, []), f"file://{tmp_path}/none")
     assert warc_store.read_archive(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_unclosed_elements_and_class_names():
+    tree = html_blocks.default_tree()
+    para = " ".join(f"word{k}" for k in range(60))
+    text = lambda source: html_blocks.main_text(source, tree)
+    for name in ("svg", "object", "iframe", "canvas", "math", "template", "noscript", "audio", "video"):
+        assert text(f"<article><p>one<{name}><p>{para}<p>two</article>") == f"one\n{para}\ntwo", name
+        assert text(f"<article><p>one<{name}>gone</{name}><p>two</article>") == "one\ntwo", name
+        assert text(f"<article><p>one<{name}>a</article><p>{para}</p><{name}>gone</{name}>") == f"one\na\n{para}", name
+    assert text(f"<article><p>one</p><script>x<p>{para}") == "one"
+    for names in ("text-widget story-social", "widget", "legal", "related", "tags share"):
+        assert text(f'<div class="{names}"><p>{para}</p></div>') == para, names
+    assert text(f'<article><p>{para}</p><div class="comments"><p>{para} too</p></div></article>') == para
+
+
+def test_string_ids(spark, tmp_path):
+    rows = [("a b", "u", "x" * 1000), ("c", "u", "x" * 1000), ("c\nd", "u", "y")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    warc_store.write_archive(df, f"file://{tmp_path}/s")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc_store.read_archive(spark, f"file://{tmp_path}/s", "string").collect()}
+    assert got["a b"] == ("revisit", "c") and got["c"] == ("response", None) and len(got) == 3
