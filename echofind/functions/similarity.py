@@ -62,8 +62,8 @@ def identifier_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(2.0 * F.least(own(a), own(b)) / F.nullif(own(a) + own(b), F.lit(0)), F.lit(1.0))
 
 
-def lcs_length(a, b, most: int = LCS_TOKENS) -> int:
-    """Length of the longest common subsequence, a bit per token of a."""
+def lcs_length(a, b, most: int | None = LCS_TOKENS) -> int:
+    """Length of the longest common subsequence of the first ``most`` tokens (null: of all), a bit per token of a."""
     a, b = a[:most], b[:most]
     places: dict[int, int] = {}
     for i, x in enumerate(a):
@@ -76,14 +76,22 @@ def lcs_length(a, b, most: int = LCS_TOKENS) -> int:
     return len(a) - row.bit_count()
 
 
-def _lcs_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series, most: int | None) -> pd.Series:
     out = []
     for x, y in zip(a, b, strict=True):
         x, y = list(x), list(y)
-        out.append(1.0 if not x and not y else 2.0 * lcs_length(x, y) / (len(x) + len(y)))
+        out.append(1.0 if not x and not y else 2.0 * lcs_length(x, y, most) / (len(x) + len(y)))
     return pd.Series(out, dtype=float)
 
 
-def lcs_ratio(a: str, b: str) -> Column:
-    """Twice the common length, over at most ``LCS_TOKENS`` of each side, over both whole lengths."""
-    return F.pandas_udf(_lcs_ratios, DoubleType())(a, b)
+def _first_lcs_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _ratios(a, b, LCS_TOKENS)
+
+
+def _whole_lcs_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _ratios(a, b, None)
+
+
+def lcs_ratio(a: str, b: str, whole: bool = False) -> Column:
+    """Twice the common length, of at most ``LCS_TOKENS`` of each side unless ``whole``, over both whole lengths."""
+    return F.pandas_udf(_whole_lcs_ratios if whole else _first_lcs_ratios, DoubleType())(a, b)

@@ -28,9 +28,10 @@ MODIFIERS = "public private protected static final abstract synchronized volatil
 TRUTH = ["true", "false"]
 SEPARATORS = list("(){}[];,@")
 
-#: Strings, characters, numbers, words, operators (longest first), separators, anything else that is not blank.
+#: Strings, characters, numbers, words, operators (longest first), separators, anything else that is not blank;
+#: quantifiers inside literals are possessive, so long ones neither recurse nor backtrack.
 JAVA = (
-    r"""(?s)"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[0-9][0-9A-Za-z_.]*|[\p{L}_$][\p{L}\p{N}_$]*"""
+    r"""(?s)"(?:[^"\\\n]++|\\.)*+"?|'(?:[^'\\\n]++|\\.)*+'?|[0-9][0-9A-Za-z_.]*|[\p{L}_$][\p{L}\p{N}_$]*"""
     r"""|>>>=|<<=|>>=|>>>|->|::|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=|<<|>>|\.\.|[-+*/%=<>!&|^~?.]|[(){}\[\];,@]|\S"""
 )
 HISTOGRAM = 12

@@ -66,6 +66,12 @@ def signatures(shingles: DataFrame, hashes: int = 48, seed: int = 42) -> DataFra
     return shingles.groupBy("id").agg(*own)
 
 
+def signatures64(shingles: DataFrame, hashes: int = 48, seed: int = 42) -> DataFrame:
+    """The same with the 64-bit family over 64-bit shingles; minima are unsigned, as signed patterns."""
+    own = [F.min(H.unsigned(H.affine64(F.col("shingle"), a, b))).alias(f"m{i}") for i, (a, b) in enumerate(H.coefficients64(hashes, seed))]
+    return shingles.groupBy("id").agg(*own).select("id", *(H.unsigned(F.col(f"m{i}")).alias(f"m{i}") for i in range(hashes)))
+
+
 def band_keys(signed: DataFrame, hashes: int = 48, bands: int = 16) -> DataFrame:
     """``id, bands``: a key per band, its minima joined."""
     bands, rows = checked(hashes, bands, 1)

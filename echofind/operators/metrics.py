@@ -36,7 +36,7 @@ def classification(cells: DataFrame) -> DataFrame:
     return cells.select(*keys, "tp", "fp", "tn", "fn", *(_six(v).alias(k) for k, v in out.items()))
 
 
-#: Parts of the unit that scores are dealt into, in their order.
+#: Parts that scores, of any range, are dealt into in their order (by a logistic curve).
 PARTS = 4096
 
 
@@ -46,7 +46,7 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     Sums run within parts of the score range; only totals of parts meet in one window.
     """
     counts = df.groupBy(F.col(score).alias("score")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    counts = counts.withColumn("part", F.floor(F.col("score") * PARTS))
+    counts = counts.withColumn("part", F.floor(PARTS / (1 + F.exp(-F.col("score")))))
     above = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
     parts = parts.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(above), F.lit(0)).alias("n0"))
@@ -100,9 +100,13 @@ def interpolated(curve: DataFrame, x: str, y: str, points: int = 100) -> DataFra
 def threshold_sweep(df: DataFrame, label: str, score: str, low: int = 10, high: int = 89) -> DataFrame:
     """Metrics at thresholds of low to high hundredths: a row per threshold."""
     spark = df.sparkSession
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    grid = F.broadcast(spark.range(low, high + 1).select(F.col("id").alias("percent"), (F.col("id") / 100).alias("threshold")))
-    hit = F.col("s") >= F.col("threshold")
+    # the largest threshold that a score reaches, exact at the borders; rows per bin, so the grid meets a bounded table
+    s, near = F.col(score), F.floor(F.col(score) * 100)
+    reached = F.when(s >= (near + 1) / 100, near + 1).when(s < near / 100, near - 1).otherwise(near)
+    bins = F.least(F.greatest(reached, F.lit(low - 1)), F.lit(high)).alias("s")
+    counts = df.groupBy(bins).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
+    grid = F.broadcast(spark.range(low, high + 1).select(F.col("id").alias("percent")))
+    hit = F.col("s") >= F.col("percent")
     cells = counts.join(grid).groupBy("percent").agg(
         F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("tn"), F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"),

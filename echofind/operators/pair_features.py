@@ -27,7 +27,11 @@ TRUTHFUL = {
 
 def describe(corpus: DataFrame, records: DataFrame) -> DataFrame:
     """``id`` and what pairs need of a snippet; token records joined with lines and characters of the raw text."""
-    raw = corpus.select("id", X.count_lines(F.col("text")).alias("lines"), X.count_chars(F.col("text")).alias("chars"))
+    return described(records, corpus.select("id", X.count_lines(F.col("text")).alias("lines"), X.count_chars(F.col("text")).alias("chars")))
+
+
+def described(records: DataFrame, raw: DataFrame) -> DataFrame:
+    """The same from given ``id, lines, chars``; a snippet without those has 0 of both."""
     a = F.col("ast")
     return records.join(raw, "id", "left").select(
         "id", F.col("token_ids").alias("t"), F.col("token_count").alias("n"), a["max_depth"].alias("depth"), a["node_count"].alias("nodes"),
@@ -46,7 +50,7 @@ def pair_features(pairs: DataFrame, described: DataFrame, parity: bool = False)
     c = lambda name: (F.col(f"{name}1"), F.col(f"{name}2"))
     gap = lambda a, b: F.abs(a - b).cast("double")
     spelled = S.spelled(F.col("t1")), S.spelled(F.col("t2"))
-    lcs = S.lcs_ratio("t1", "t2")
+    lcs = S.lcs_ratio("t1", "t2", whole=not parity)  # the published column looks at the first tokens only
     columns = {
         "lex_levenshtein_ratio": S.levenshtein_ratio(*spelled),
         "lex_token_set_ratio": F.lit(0.0),

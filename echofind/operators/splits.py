@@ -67,6 +67,11 @@ def existing(pairs: DataFrame, ids: DataFrame, group: str) -> tuple[DataFrame, D
     return flagged.where(good).select(*pairs.columns), stats
 
 
+def with_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of pairs with their labels: as they are if they have one, else joined by both ids; pairs without a label go."""
+    return features if "label" in features.columns else features.join(labels.select("id1", "id2", "label"), ["id1", "id2"])
+
+
 def test_label(clone_set: Column) -> Column:
     """Labels of evaluation: the rule types 1 and 2, 3 for modified copies, 0 for others, -1 for unknown sets."""
     return F.when(clone_set == "type1", 1).when(clone_set == "type2", 2).when(clone_set.isin("type3", "type4"), 3).when(clone_set.isin("type5", "nonclone"), 0).otherwise(-1)

@@ -55,10 +55,23 @@ def robustness(model: Model, test: DataFrame, features: Sequence[str], kind: str
     return rows.select("level", "f1", "accuracy", F.round(base - F.col("f1"), 6).alias("degradation"))
 
 
+def robustness_ranking(curves: DataFrame) -> DataFrame:
+    """Of ``model, level, f1``: the mean F1 over the range of levels (area under the curve over its width), and the rank, the most robust first."""
+    order = Window.partitionBy("model").orderBy("level")
+    step = F.col("level") - F.lag("level").over(order)
+    pieces = curves.select("model", "level", (step * (F.col("f1") + F.lag("f1").over(order)) / 2).alias("piece"))
+    own = pieces.groupBy("model").agg(F.round(metrics.share(F.sum("piece"), F.max("level") - F.min("level")), 6).alias("robustness"))
+    return own.withColumn("rank", F.row_number().over(Window.orderBy(F.col("robustness").desc(), "model")).cast("long"))
+
+
 def importance_stability(df: DataFrame, features: Sequence[str], name: str = "forest", k: int = 5, seed: int = 42, trees: int = 50) -> DataFrame:
     """Per feature over folds: mean, deviation, coefficient of variation and ranks of importance, and whether it is stable."""
     rows = [(fold, f, v) for fold in range(k) for f, v in models.importances(models.fitted(df.where(F.col("fold") != fold), features, name, seed, trees), features)]
-    long = df.sparkSession.createDataFrame(rows, "fold long, feature string, importance double")
+    return importance_ranks(df.sparkSession.createDataFrame(rows, "fold long, feature string, importance double"))
+
+
+def importance_ranks(long: DataFrame) -> DataFrame:
+    """The same of given ``fold, feature, importance``."""
     ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("fold").orderBy(F.col("importance").desc(), "feature")))
     out = ranked.groupBy("feature").agg(
         F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"), F.min("importance").alias("min"), F.max("importance").alias("max"), F.avg("rank").alias("rank_mean"), F.stddev_pop("rank").alias("rank_std")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -150,7 +151,8 @@ def length_stats(spark, sf_dir):
 
 # --- tokens ------------------------------------------------------------------------------------
 
-_JAVA = T.JAVA.replace("'", "''")
+# other engines have no possessive quantifiers and, without backtracking, no need of them
+_JAVA = T.JAVA.replace(']++', ']+').replace(')*+', ')*').replace("'", "''")
 _LIST = lambda words: ", ".join(f"'{w}'" for w in words)
 _CATEGORY = (
     f"case when t in ({_LIST(T.MODIFIERS)}) then 4 when t in ({_LIST(T.KEYWORDS)}) then 0 when t in ({_LIST(T.TRUTH)}) then 3 when t in ({_LIST(T.SEPARATORS)}) then 6 "
@@ -200,9 +202,15 @@ def token_records(spark, sf_dir):
 # --- exact and renamed copies ------------------------------------------------------------------
 
 
-@query(f"with {DOCS} select id, min(id) over w as class_id, count(*) over w as class_size from docs window w as (partition by md5(text))")
+_SPACED = "src as (select id, case id % 3 when 0 then text when 1 then replace(text, ' ', '  ') || chr(10) else '/* ' || id || ' */' || text end as text from docs)"
+
+
+@query(f"with {DOCS}, {_SPACED}, {BARE}, {NORM} select id, min(id) over w as class_id, count(*) over w as class_size from norm window w as (partition by md5(n))")
 def type1_classes(spark, sf_dir):
-    own = normalize.normalized(documents(spark, sf_dir))
+    """Exact copies; two thirds of the texts are given other blanks or a comment first, which normalization takes away."""
+    k = F.col("id") % 3
+    text = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n"))).otherwise(F.concat(F.lit("/* "), F.col("id").cast("string"), F.lit(" */"), F.col("text")))
+    own = normalize.normalized(documents(spark, sf_dir).select("id", text.alias("text")))
     return clones.classes(own, F.md5("norm_text"))
 
 
@@ -791,7 +799,21 @@ def model_cross_validation(spark, sf_dir):
     """Three-fold metrics of all models."""
     from . import models
 
-    return models.cross_validated(quality_features(spark, sf_dir).cache(), QUALITY, k=3)
+    return models.cross_validated(quality_features(spark, sf_dir).cache(), QUALITY, k=3, key="doc_id")
+
+
+@query()
+def model_selection(spark, sf_dir):
+    """Models cross-validated on two folds' rows, the best of them refit, and its metrics on the third fold with labels 0 and 3."""
+    from . import models
+
+    own = quality_features(spark, sf_dir).cache()
+    train = splits.folds(own.where("fold <> 2").drop("fold"), "label", ["doc_id"], 3)
+    names = ("forest", "logistic", "knn")
+    _, best, model = models.trained(train, QUALITY, names, k=3, key="doc_id")
+    test = own.where("fold = 2")
+    scored = models.voted(train, test, QUALITY, "doc_id") if model is None else models.scored(model, test, QUALITY)
+    return models.tested(scored.withColumn("label", F.col("label") * 3)).select(F.lit(best).alias("model"), "*")
 
 
 @query()
@@ -835,19 +857,33 @@ def feature_ablation(spark, sf_dir):
     return analysis.one_feature_out(quality_features(spark, sf_dir).cache(), QUALITY, k=3)
 
 
+def _detector(spark, sf_dir) -> tuple[DataFrame, object, list[str]]:
+    """Labelled test pairs, a model fit on the other pairs, and its features, none of which the label is made of.
+
+    A pair is a modified copy if its common subsequence is long; the features that measure it
+    or are it under another name take no part.  Half of the pairs, by md5 of their ids, train.
+    """
+    from . import models
+
+    features = _features(spark, sf_dir, False)
+    names = [c for c in features.columns if c not in ("id1", "id2", "lex_lcs_ratio", "lex_levenshtein_ratio")]
+    rows = pair_features.sanitized(features, [*names, "lex_lcs_ratio"]).withColumn("label", (F.col("lex_lcs_ratio") >= 0.75).cast("int"))
+    trains = F.substring(splits.order_key(["id1", "id2"]), 1, 1) < "8"
+    model = models.fitted(rows.where(trains), names, "forest", trees=DETECTOR_TREES)
+    return rows.where(~trains).select("id1", "id2", (F.col("label") * 3).alias("label")), model, names
+
+
+#: Trees of the forest that the detection queries fit.
+DETECTOR_TREES = 5
+
+
 @query()
 def detection(spark, sf_dir):
-    """The detection plan over pairs of neighbouring turns, the model trained on labels by rule."""
+    """The detection plan over the test half of the pairs of neighbouring turns."""
     from . import detection as plan
-    from . import models
 
-    corpus = turns(spark, sf_dir)
-    features = _features(spark, sf_dir, False)
-    names = [c for c in features.columns if c not in ("id1", "id2")]
-    train = pair_features.sanitized(features, names).withColumn("label", (F.col("lex_lcs_ratio") >= 0.75).cast("int"))
-    model = models.fitted(train, names, "forest", trees=5)
-    pairs = train.select("id1", "id2", (F.col("label") * 3).alias("label"))
-    return plan.detected(pairs, corpus, model, names)
+    pairs, model, names = _detector(spark, sf_dir)
+    return plan.detected(pairs, turns(spark, sf_dir), model, names)
 
 
 @query(f"with {_TUNE} select n_bands, " + ", ".join(f"round(min_by(case when n_hashes = {h} then precision end, case when n_hashes = {h} then shingle_k end), 6)::double as h{h}" for h in (64, 128, 192)) + " from d group by n_bands")
@@ -883,10 +919,189 @@ def lsh_empirical_sweep(spark, sf_dir):
 @query()
 def pipeline_ablation(spark, sf_dir):
     from . import detection as plan
-    from . import models
 
-    features = _features(spark, sf_dir, False)
-    names = [c for c in features.columns if c not in ("id1", "id2")]
-    train = pair_features.sanitized(features, names).withColumn("label", (F.col("lex_lcs_ratio") >= 0.75).cast("int"))
-    model = models.fitted(train, names, "forest", trees=5)
-    return plan.ablation(train.select("id1", "id2", (F.col("label") * 3).alias("label")), turns(spark, sf_dir), model, names)
+    pairs, model, names = _detector(spark, sf_dir)
+    return plan.ablation(pairs, turns(spark, sf_dir), model, names)
+
+
+# --- the feature table over given records, and steps of experiments over given tables -----------
+
+_GIVEN = (
+    "g as (select l_orderkey as id, list((l_partkey % 12)::int order by l_linenumber, l_partkey % 12) as t, (max(l_linenumber) - 1)::bigint as depth, (count(*) * 2)::bigint as nodes, sum(l_quantity)::bigint as lines, (sum(l_suppkey) * 3)::bigint as chars from lineitem group by l_orderkey), "
+    "r as (select id, t, len(t)::bigint as n, depth, nodes, list_transform(range(0, 12), lambda c: len(list_filter(t, lambda x: x = c))) as h, list_transform(range(1, len(t)), lambda i: t[i] * 256 + t[i + 1]) as b, (1 + len(list_filter(t, lambda x: x in (0, 2))))::bigint as cc, lines, chars from g), "
+    "p as (select a.id as id1, b.id as id2, " + ", ".join(f"{s}.{c} as {c}{i}" for s, i in (("a", 1), ("b", 2)) for c in ("t", "n", "depth", "nodes", "h", "b", "cc", "lines", "chars")) + " from r a join r b on b.id = a.id + 1), "
+    "w(id1, id2, t1, t2, i, d) as (select id1, id2, t1, t2, 0, list_transform(range(0, len(t2) + 1), lambda j: 0) from p union all "
+    "select id1, id2, t1, t2, i + 1, list_transform(range(0, len(t2) + 1), lambda j: case when j = 0 then 0 else list_max(list_transform(range(1, j + 1), lambda k: greatest(d[k + 1], case when t2[k] = t1[i + 1] then d[k] + 1 else 0 end))) end) from w where i < len(t1)), "
+    "l as (select id1, id2, d[len(t2) + 1] as lcs from w where i = len(t1)), "
+    "f as (select p.*, lcs, array_to_string(t1, ' ') as s1, array_to_string(t2, ' ') as s2, len(list_filter(b1, lambda x: list_contains(b2, x))) as bi, len(list_filter(t1, lambda x: x = 1)) as i1, len(list_filter(t2, lambda x: x = 1)) as i2, len(list_distinct(list_concat(t1, t2))) as u, len(list_intersect(t1, t2)) as x from p join l using (id1, id2))"
+)
+_LCS = "2 * lcs / (n1 + n2)"
+_GIVEN_SQL = {
+    "lex_levenshtein_ratio": "1 - levenshtein(s1, s2) / greatest(length(s1), length(s2))", "lex_token_set_ratio": "0", "lex_sequence_match_ratio": "x / u",
+    "lex_jaccard_tokens": "2 * x / (len(list_distinct(t1)) + len(list_distinct(t2)))", "lex_dice_tokens": _LCS, "lex_lcs_ratio": _LCS, "lex_char_jaccard": "jaccard(s1, s2)",
+    "struct_ast_hist_cosine": f"coalesce({_DOT.format('h1', 'h2')} / nullif(sqrt({_DOT.format('h1', 'h1')}) * sqrt({_DOT.format('h2', 'h2')}), 0), 0)",
+    "struct_bigram_cosine": "case when len(b1) = 0 or len(b2) = 0 then 0 else bi / (len(b1) + len(b2) - bi) end",
+    "struct_depth_diff": "abs(depth1 - depth2)", "struct_depth_ratio": _R.format("depth1", "depth2"), "struct_node_count1": "nodes1", "struct_node_count2": "nodes2",
+    "struct_node_ratio": _R.format("nodes1", "nodes2"), "struct_node_diff": "abs(nodes1 - nodes2)", "quant_token_ratio": _R.format("n1", "n2"),
+    "quant_line_delta": "abs(lines1 - lines2) / greatest(lines1, lines2, 1)", "quant_identifier_ratio": "coalesce(2 * least(i1, i2) / nullif(i1 + i2, 0), 1)",
+    "quant_cc1": "cc1", "quant_cc2": "cc2", "quant_cc_ratio": _R.format("cc1", "cc2"), "quant_cc_diff": "abs(cc1 - cc2)", "quant_lines1": "lines1", "quant_lines2": "lines2",
+    "quant_chars1": "chars1", "quant_chars2": "chars2", "quant_char_ratio": "least(chars1, chars2) / greatest(chars1, chars2, 1)",
+}
+
+
+def given_records(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Token records and sizes of snippets as given tables: an order is a snippet, its lines are the tokens."""
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 12).cast("int").alias("t")))).alias("s"),
+        (F.max("l_linenumber") - 1).cast("long").alias("max_depth"), (F.count("*") * 2).alias("node_count"), F.sum("l_quantity").cast("long").alias("lines"), (F.sum("l_suppkey") * 3).cast("long").alias("chars"),
+    )
+    t, n = F.col("s.t"), F.size("s")
+    two = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.element_at(t, i) * 256 + F.element_at(t, F.least(i + 1, n)))).otherwise(F.array().cast("array<int>"))
+    ast = F.struct("max_depth", "node_count", T.count_categories(t).alias("histogram"), two.alias("bigrams"), T.cyclomatic(t).alias("cyclomatic_complexity"))
+    records = own.select("id", t.alias("token_ids"), n.cast("long").alias("token_count"), ast.alias("ast"))
+    return records, own.select("id", "lines", "chars")
+
+
+@query(f"with recursive {_GIVEN} select id1, id2, " + ", ".join(f"round(({v})::double, 6) as {k}" for k, v in _GIVEN_SQL.items()) + " from f")
+def pair_features_given(spark, sf_dir):
+    """All 27 features over given token records."""
+    records, sizes = given_records(spark, sf_dir)
+    pairs = neighbours(records, 1)
+    out = pair_features.pair_features(pairs, pair_features.described(records, sizes), parity=True)
+    return out.select("id1", "id2", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("id1", "id2")))
+
+
+@query("with p as (select distinct least(l_partkey, l_suppkey) as id1, greatest(l_partkey, l_suppkey) as id2 from lineitem where l_linenumber = 1), t as (select distinct least(l_partkey, l_suppkey) as id1, greatest(l_partkey, l_suppkey) as id2, 3 as label from lineitem where l_linenumber = 2) select id1, id2, id1 + id2 as f, label from p join t using (id1, id2)")
+def labelled_features(spark, sf_dir):
+    own = clones.canonical(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id1"), F.col("l_suppkey").alias("id2"), "l_linenumber"))
+    side = lambda k: own.where(F.col("l_linenumber") == k).select("id1", "id2").distinct()
+    return splits.with_labels(side(1).withColumn("f", F.col("id1") + F.col("id2")), side(2).withColumn("label", F.lit(3)))
+
+
+@query(f"with {TYPED} select id1, id2 from typed where clone_type = 0")
+def remaining_pairs(spark, sf_dir):
+    return _typed(spark, sf_dir).where("clone_type = 0").select("id1", "id2")
+
+
+@query(f"with {TYPED}, {MERGED}, c as (select {_CELLS} from (select (label > 0)::int as label, prediction > 0 as hit from merged)) select tp, fp, tn, fn, {_SCORES}, coalesce(tp / nullif(tp + fn, 0), 0) < 0.1 as low_recall from c")
+def detection_report(spark, sf_dir):
+    from . import detection as plan
+
+    return plan.report(_merged(spark, sf_dir))
+
+
+_DRAWN = random.Random(42).sample(_NUMBERS, len(_NUMBERS) // 2)
+
+
+@query("select l_orderkey, l_linenumber, " + ", ".join("0.0::double as " + c if c in _DRAWN else f"{c}::double as {c}" for c in _NUMBERS) + " from lineitem")
+def masked_features(spark, sf_dir):
+    from . import analysis
+
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(c) for c in _NUMBERS))
+    return analysis.masked(own, _NUMBERS, 0.5)
+
+
+def _signs() -> list[int]:
+    rng = random.Random(42)
+    return [rng.choice((-1, 1)) for _ in _NUMBERS]
+
+
+@query("select l_orderkey, l_linenumber, " + ", ".join(f"round({c}::double + {s} * 0.25::double * abs({c}::double), 6) as {c}" for c, s in zip(_NUMBERS, _signs(), strict=True)) + " from lineitem")
+def shifted_features(spark, sf_dir):
+    from . import analysis
+
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(c) for c in _NUMBERS))
+    return analysis.shifted(own, _NUMBERS, 0.25).select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(c) for c in _NUMBERS))
+
+
+_VOTED = f"{SCORED}, v as (select doc_id as id, label, 'm' || f as model, (((doc_id * f) % 101) / 100.0::double >= 0.3)::int as prediction from scored, (values (37), (53), (71)) t(f))"
+
+
+@query(f"with {_VOTED}, c as (select id, round(avg(prediction))::int as common from v group by id) select model, round(avg((prediction = label)::int), 6) as accuracy, round(avg((prediction = common)::int), 6) as agreement from v join c using (id) group by model")
+def prediction_stability(spark, sf_dir):
+    from . import analysis
+
+    rows = scored(spark, sf_dir).select("doc_id", "label", F.explode(F.array(*map(F.lit, _FACTORS))).alias("factor"))
+    own = rows.select(F.col("doc_id").alias("id"), "label", F.concat(F.lit("m"), "factor").alias("model"), (F.pmod(F.col("doc_id") * F.col("factor"), F.lit(101)) / 100.0 >= 0.3).cast("int").alias("prediction"))
+    return analysis.prediction_stability(own)
+
+
+@query("with r as (select o_orderpriority as config, count(*)::double as seconds from orders group by 1), b as (select seconds as base from r where config = '1-URGENT') select config, seconds, base - seconds as saved, round(coalesce((base - seconds) / nullif(base, 0), 0), 6) as reduction, round(coalesce(base / nullif(seconds, 0), 0), 6) as speedup from r, b")
+def runtime_ablation(spark, sf_dir):
+    from . import analysis
+
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("config")).agg(F.count("*").cast("double").alias("seconds"))
+    return analysis.runtime_ablation(rows, "1-URGENT").select("config", "seconds", "saved", F.round("reduction", 6).alias("reduction"), F.round("speedup", 6).alias("speedup"))
+
+
+_STAGES = "s as (select o_orderpriority as stage, count(*)::double as seconds, max(o_totalprice)::double as peak_mb from orders group by 1)"
+
+
+@query(f"with {_STAGES} select sum(seconds) as seconds, max(peak_mb) as peak_mb, max_by(stage, peak_mb) as largest_stage, max_by(stage, seconds) as slowest_stage from s")
+def memory_totals(spark, sf_dir):
+    from . import analysis
+
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stage")).agg(F.count("*").cast("double").alias("seconds"), F.max("o_totalprice").cast("double").alias("peak_mb"))
+    return analysis.Profile.totals(rows)
+
+
+_LEVELS = f"{SCORED}, h as (select 'm' || f as model, i as level, label, ((doc_id * f) % 101) / 100.0::double >= i / 10.0::double as hit from scored, (values (37), (53), (71)) t(f), range(0, 6) r(i)), c as (select model, level, {_CELLS} from h group by 1, 2), curves as (select model, level, {_SCORES} from c)"
+
+
+@query(f"with {_LEVELS}, s as (select model, level, (level - lag(level) over w) * (f1 + lag(f1) over w) / 2 as piece from curves window w as (partition by model order by level)), a as (select model, round(coalesce(sum(piece) / nullif(max(level) - min(level), 0), 0), 6) as robustness from s group by model) select model, robustness, row_number() over (order by robustness desc, model) as rank from a")
+def robustness_ranking(spark, sf_dir):
+    from . import analysis
+
+    rows = scored(spark, sf_dir).select("doc_id", "label", F.explode(F.array(*map(F.lit, _FACTORS))).alias("factor")).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("level"))
+    own = rows.select(F.concat(F.lit("m"), "factor").alias("model"), "level", "label", (F.pmod(F.col("doc_id") * F.col("factor"), F.lit(101)) / 100.0 >= F.col("level") / 10.0).cast("int").alias("hit"))
+    return analysis.robustness_ranking(metrics.classification(metrics.confusion(own, F.col("label"), F.col("hit"), ["model", "level"])))
+
+
+_IMPORTANCE = "i as (select l_linenumber % 5 as fold, l_returnflag as feature, round(avg(l_quantity)::double, 6) as importance from lineitem group by 1, 2)"
+
+
+@query(f"with {_IMPORTANCE}, k as (select *, row_number() over (partition by fold order by importance desc, feature) as rank from i), a as (select feature, avg(importance) as mean, stddev_pop(importance) as std, min(importance) as min, max(importance) as max, avg(rank) as rank_mean, stddev_pop(rank) as rank_std from k group by feature) select feature, round(mean, 6) as mean, round(std, 6) as std, min, max, round(rank_mean, 6) as rank_mean, round(rank_std, 6) as rank_std, round(std / mean, 6) as cv, case when std / mean < 0.5 then 'stable' when std / mean > 1 then 'unstable' else 'medium' end as verdict from a")
+def importance_ranks(spark, sf_dir):
+    from . import analysis
+
+    own = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 5).alias("fold"), F.col("l_returnflag").alias("feature")).agg(F.round(F.avg("l_quantity").cast("double"), 6).alias("importance"))
+    out = analysis.importance_ranks(own)
+    return out.select("feature", *(F.round(c, 6).alias(c) for c in ("mean", "std")), "min", "max", *(F.round(c, 6).alias(c) for c in ("rank_mean", "rank_std", "cv")), "verdict")
+
+
+_TRAIN = (
+    f"s as (select o_orderkey as id1, o_orderkey + 1 as id2, {_SET_SQL} as clone_set from orders), t as (select id1, id2, clone_set, case when clone_set in ('type3', 'type4') then 3 when clone_set in ('type5', 'nonclone') then 0 end as label from s), "
+    "u as (select *, row_number() over (partition by label order by md5(concat_ws('-', id1, id2, '42')), id1, id2) as rank, count(*) over (partition by label) as size from t where label is not null), v as (select id1, id2, clone_set, (label = 3)::int as label from u where rank > floor(size * 0.3 + 0.5)), "
+    "x as (select *, row_number() over (partition by label order by md5(concat_ws('-', id1, id2, '42')), id1, id2) as rank, count(*) over (partition by label) as size from v)"
+)
+
+
+@query(f"with {_TRAIN} select id1, id2, clone_set, label from x where rank <= (select min(size) from x)")
+def training_pairs(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id1"), (F.col("o_orderkey") + 1).alias("id2"), F.element_at(F.array(*map(F.lit, _SETS)), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("clone_set"))
+    return splits.datasets(own, ["id1", "id2"])[0]
+
+
+# the 64-bit family over hashed token windows
+
+_FNV = "14695981039346656037::uhugeint"
+for _j in range(SHINGLE):
+    for _shift in (0, 8, 16, 24):
+        _FNV = f"((xor({_FNV}, ((k[i + {_j}] >> {_shift}) & 255)::uhugeint) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+_SIGNED64 = "(case when {0} >= 9223372036854775808::uhugeint then ({0}::hugeint - 18446744073709551616::hugeint) else {0}::hugeint end)::bigint"
+_WINDOWS64 = f"{TALK}, z as (select id, unnest(list_transform(range(1, len(k) - {SHINGLE} + 2), lambda i: {_FNV})) as x from tokens where len(k) >= {SHINGLE})"
+
+
+@query(f"with {_WINDOWS64} select id, {_SIGNED64.format('x')} as shingle from z")
+def token_shingles(spark, sf_dir):
+    """Hashed windows of tokens, as signed 64-bit patterns, repeats included."""
+    return normalize.tokenized(turns(spark, sf_dir)).select("id", F.explode(H.fnv_shingles(F.col("tokens"), SHINGLE)).alias("shingle"))
+
+
+_MINIMA = ", ".join(f"min(((x * {a}::uhugeint + {b}::uhugeint) % 18446744073709551616::uhugeint) % {H.PRIME64}::uhugeint) as u{i}" for i, (a, b) in enumerate(H.coefficients64(8)))
+
+
+@query(f"with {_WINDOWS64}, m as (select id, {_MINIMA} from z group by id) select id, " + ", ".join(f"{_SIGNED64.format(f'u{i}')} as m{i}" for i in range(8)) + " from m")
+def minhash_signatures64(spark, sf_dir):
+    """The first eight minima of the 64-bit family over the hashed token windows."""
+    return clones.signatures64(token_shingles(spark, sf_dir), 8)

@@ -26,11 +26,11 @@ def token_bands(records: DataFrame, hashes: int = 48, bands: int = 16, k: int =
     return signed, clones.band_keys(signed, hashes, bands)
 
 
-def detected(pairs: DataFrame, corpus: DataFrame, model: Model, features: list[str], hashes: int = 48, bands: int = 16, k: int = 3, threshold: float = 0.30, similarity: float = 0.0, skip_lsh: bool = False) -> DataFrame:
-    """``id1, id2, label, prediction``; features and the model see candidates only."""
+def detected(pairs: DataFrame, corpus: DataFrame, model: Model, features: list[str], hashes: int = 48, bands: int = 16, k: int = 3, threshold: float = 0.30, similarity: float = 0.0, skip_lsh: bool = False, skip_rules: bool = False) -> DataFrame:
+    """``id1, id2, label, prediction``; features and the model see candidates only; without rules those are drawn from all pairs."""
     records = normalize.token_records(corpus)
     keys = pairs.select("id1", "id2").distinct()
-    typed = clones.clone_types(keys, digests(corpus, records))
+    typed = keys.withColumn("clone_type", F.lit(0)) if skip_rules else clones.clone_types(keys, digests(corpus, records))
     open_ = typed.where("clone_type = 0").select("id1", "id2")
     if not skip_lsh:
         signed, keyed = token_bands(records, hashes, bands, k)
@@ -50,11 +50,10 @@ def report(predictions: DataFrame) -> DataFrame:
 
 def ablation(pairs: DataFrame, corpus: DataFrame, model: Model, features: list[str], **more) -> DataFrame:
     """Metrics of the plan as it is, without the candidate filter, and without the rules, each run for real."""
-    full = detected(pairs, corpus, model, features, **more)
     runs = {
-        "full": full,
+        "full": detected(pairs, corpus, model, features, **more),
         "no_lsh": detected(pairs, corpus, model, features, skip_lsh=True, **more),
-        "no_rules": full.withColumn("prediction", F.when(F.col("prediction").isin(1, 2), 0).otherwise(F.col("prediction"))),
+        "no_rules": detected(pairs, corpus, model, features, skip_rules=True, **more),
     }
     parts = [report(df).select(F.lit(name).alias("config"), "*") for name, df in runs.items()]
     return parts[0].union(parts[1]).union(parts[2])

@@ -26,6 +26,21 @@ def test_cross_validation_and_selection(table):
     assert models.top_subsets(table, FEATURES, (1, 2, 9), trees=5)[2][0] != "struct_b"
 
 
+def test_neighbours_selection_and_test_metrics(table):
+    folds, best, model = models.trained(table, FEATURES, ("knn", "logistic"), 3, key="id")
+    means = {r.model: r.v for r in folds.where("metric = 'f1'").groupBy("model").agg({"value": "avg"}).toDF("model", "v").collect()}
+    assert min(means.values()) > 0.8 and best in means and (model is None) == (best == "knn")
+    train, test = table.where("fold <> 0"), table.where("fold = 0")
+    got = {r.id: r.score for r in models.voted(train, test, FEATURES, "id").collect()}
+    rows = train.collect()
+    for r in test.collect():
+        near = sorted(rows, key=lambda x: (sum((x[c] - r[c]) ** 2 for c in FEATURES), x.id))[:7]
+        assert abs(got[r.id] - sum(x.label for x in near) / 7) < 1e-6
+    fit = models.fitted(train, FEATURES, "logistic")
+    out = models.tested(models.scored(fit, test, FEATURES).withColumn("label", test.label * 3)).first()
+    assert out.tp + out.fp + out.tn + out.fn == test.count() and out.roc_auc > 0.9
+
+
 def test_calibration_and_analysis(table):
     model = models.fitted(table, FEATURES, "svm")
     scored = models.scored(model, table, FEATURES)
@@ -44,7 +59,7 @@ def test_registered_scope(spark, monkeypatch):
     sf_dir, seen = "/root/testdata/sf0.001", {}
 
     def kept(key):
-        def record(df, features, names=models.NAMES, k=5, seed=42, trees=200):
+        def record(df, features, names=models.NAMES, k=5, seed=42, trees=200, key=None):
             seen.setdefault(key[0], []).append((tuple(features), tuple(names), k, trees))
             return spark.createDataFrame([(n, 0, m, 0.5) for n in names for m in ("f1", "accuracy")], "model string, fold long, metric string, value double")
 
@@ -55,7 +70,7 @@ def test_registered_scope(spark, monkeypatch):
     for key[0] in ("model_cross_validation", "model_elimination", "feature_ablation"):
         catalog.QUERIES[key[0]](spark, sf_dir)
     every = tuple(catalog.QUALITY)
-    assert seen["model_cross_validation"] == [(every, ("boosted", "forest", "logistic", "svm"), 3, 200)]
+    assert seen["model_cross_validation"] == [(every, ("boosted", "forest", "logistic", "svm", "knn"), 3, 200)]
     assert [(len(f), k, t) for f, _, k, t in seen["model_elimination"]] == [(6, 3, 200), (4, 3, 200), (2, 3, 200)]
     assert {every} | {tuple(f for f in every if f != gone) for gone in every} == {f for f, *_ in seen["feature_ablation"]}
     assert {(k, t) for _, _, k, t in seen["feature_ablation"]} == {(3, 50)}
