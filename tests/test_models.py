@@ -59,7 +59,7 @@ def test_registered_scope(spark, monkeypatch):
     sf_dir, seen = "/root/testdata/sf0.001", {}
 
     def kept(key):
-        def record(df, features, names=models.NAMES, k=5, seed=42, trees=200, key=None):
+        def record(df, features, names=models.NAMES, k=5, seed=42, trees=200, **_):
             seen.setdefault(key[0], []).append((tuple(features), tuple(names), k, trees))
             return spark.createDataFrame([(n, 0, m, 0.5) for n in names for m in ("f1", "accuracy")], "model string, fold long, metric string, value double")
 
