@@ -50,6 +50,8 @@ SLACK = 0.2
 BLOCK = 96
 #: Ids up to this many (of 8 bytes) are sent to all tasks to pick texts; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Rows of a written table of ids, labels or bands up to which it goes to all tasks; a larger one is joined by shuffles.
+SENT = 200_000
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 32, (2, REGISTERS), np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -162,12 +164,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, marked to go to all tasks if its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): ``id`` and ``c``, the smallest id of its component.
 
     In each round every id takes the smallest id next to it, twice what that one took, and the
     edges are drawn anew between what their ends took: they shrink until none is left.  Rounds
-    are written, so a lost executor costs one round at most.
+    are written, so a lost executor costs one round at most.  Labels of up to ``SENT`` ids go to
+    all tasks; beyond, joins read written tables of ids alone, so adaptive execution deals a hot
+    id's rows over several tasks.
     """
 
     def drawn(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -177,17 +186,18 @@ def components(edges: DataFrame) -> DataFrame:
     while label is None or left.limit(1).count():
         both = left.union(left.select("b", "a"))
         took = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("c")), "labels")
+        sent = F.broadcast if took.count() <= SENT else lambda table: table
         for _ in range(2):
-            next_ = took.select(F.col("id").alias("c"), F.col("c").alias("d"))
-            took = stored(spread.joined(took, next_, ["c"], F.col("id")).select("id", F.col("d").alias("c")), "labels")
-        ends = spread.joined(left, took.select(F.col("id").alias("a"), F.col("c").alias("x")), ["a"], F.col("b"))
-        ends = spread.joined(ends, took.select(F.col("id").alias("b"), F.col("c").alias("y")), ["b"], F.col("a"), left.groupBy("b").agg(F.count("*").alias("rows")))
+            next_ = sent(took.select(F.col("id").alias("c"), F.col("c").alias("d")))
+            took = stored(took.join(next_, "c").select("id", F.col("d").alias("c")), "labels")
+        ends = left.join(sent(took.select(F.col("id").alias("a"), F.col("c").alias("x"))), "a")
+        ends = ends.join(sent(took.select(F.col("id").alias("b"), F.col("c").alias("y"))), "b")
         left = drawn("x", "y", ends)
         if label is None:
             label = took
         else:
-            next_ = took.select(F.col("id").alias("c"), F.col("c").alias("d"))
-            label = stored(spread.joined(label, next_, ["c"], F.col("id"), how="left").select("id", F.coalesce("d", "c").alias("c")), "labels")
+            next_ = sent(took.select(F.col("id").alias("c"), F.col("c").alias("d")))
+            label = stored(label.join(next_, "c", "left").select("id", F.coalesce("d", "c").alias("c")), "labels")
     return label
 
 
@@ -208,14 +218,14 @@ def _rest(left: DataFrame, regs: DataFrame, members: DataFrame, percent: int, ki
     is made for a pair that is not a link.
     """
     bound = percent / 100
-    own = left.select("id", "c").distinct()
     # bands touch through the smallest members of an id's bands: edges between those alone
-    least = left.groupBy("id").agg(F.min("lo").alias("b"))
-    touch = components(left.select("id", F.col("lo").alias("a")).join(least, "id").select("a", "b").distinct())
-    cluster = least.join(touch.select(F.col("id").alias("b"), "c"), "b", "left").select("id", F.coalesce("c", "b").alias("c"))
-    sizes = cluster.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cluster.join(sizes, "c").select("id", F.col("c").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
-    rows = own.join(placed, "id").join(regs, "id").join(members, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    least = stored(left.groupBy("id").agg(F.min("lo").alias("b"), F.min("c").alias("c")), "least")
+    touch = components(left.select("id", F.col("lo").alias("a")).join(_sent(least.select("id", "b")), "id").select("a", "b").distinct())
+    cluster = least.join(_sent(touch.select(F.col("id").alias("b"), F.col("c").alias("t"))), "b", "left")
+    cluster = stored(cluster.select("id", "c", F.coalesce("t", "b").alias("cluster")), "clusters")
+    sizes = stored(cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
+    placed = cluster.join(_sent(sizes), "cluster").select("id", "c", "cluster", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    rows = placed.join(regs, "id").join(members, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c", "n", "regs", "members")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -269,7 +279,11 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     content = ["f1", "f2", "n"]
     reps = linkable.groupBy(*content).agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     reps = stored(reps.where("rows > 1"), "copied")
-    copies = spread.joined(linkable.select("id", *content), reps.select(*content, "rep"), content, F.col("id"), reps.select(*content, "rows"))
+    copies = linkable.select("id", *content)
+    if reps.count() <= SENT:
+        copies = copies.join(F.broadcast(reps.select(*content, "rep")), content)
+    else:
+        copies = spread.joined(copies, reps.select(*content, "rep"), content, F.col("id"), reps.select(*content, "rows"))
     copies = stored(copies.where("id != rep").select("id", *content, "rep").distinct(), "copies")
     few_copies = copies.count() <= BROADCAST_IDS
 
@@ -279,10 +293,9 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     classes = with_copies(linkable, copies.select("id", *content), "left_anti").select("id", "n", "bands", "regs")
 
     bands = classes.select("id", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    ends = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     ends = stored(ends, "ends")
-    sizes = ends.select("band", "rows")
-    shared = stored(spread.joined(bands, ends.drop("rows"), ["band"], F.col("id"), sizes), "bands")
+    shared = stored(bands.join(_sent(ends), "band"), "bands")
 
     ids = stored(shared.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -310,9 +323,9 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     def open_bands(label: DataFrame) -> DataFrame:
         """The members of bands that hold more than one component, with their component ``c``."""
-        now = shared.join(label, "id", "left").select("band", "id", "lo", "hi", F.coalesce("c", "id").alias("c"))
+        now = shared.join(_sent(label), "id", "left").select("band", "id", "lo", "hi", F.coalesce("c", "id").alias("c"))
         mixed = now.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("band")
-        return spread.joined(now, mixed, ["band"], F.col("id"), sizes)
+        return now.join(_sent(stored(mixed, "mixed")), "band")
 
     def wider(label: DataFrame, found: DataFrame) -> DataFrame:
         if not found.limit(1).count():
@@ -323,18 +336,17 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     if left.limit(1).count():
         # the hub of a band: its member that meets the most others over all bands
         here = stored(left.groupBy("band").agg(F.count("*").alias("rows")), "open-sizes")
-        meets = spread.joined(left.select("band", "id"), here.select("band", F.col("rows").alias("size")), ["band"], F.col("id"), here)
-        meets = meets.groupBy("id").agg(F.sum("size").alias("meets"))
-        hubs = left.select("band", "id").join(meets, "id").groupBy("band").agg(F.max(F.struct("meets", "id")).alias("hub"))
-        spokes = spread.joined(left, hubs, ["band"], F.col("id"), here).select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "c").distinct()
-        spokes = spread.joined(spokes, label.select(F.col("id").alias("b"), F.col("c").alias("d")), ["b"], F.col("a"), how="left").where("c != coalesce(d, b)")
+        meets = left.select("band", "id").join(_sent(here), "band").groupBy("id").agg(F.sum("rows").alias("meets"))
+        hubs = stored(left.select("band", "id").join(meets, "id").groupBy("band").agg(F.max(F.struct("meets", "id")).alias("hub")), "hubs")
+        spokes = left.join(_sent(hubs), "band").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "c").distinct()
+        spokes = spokes.join(_sent(label.select(F.col("id").alias("b"), F.col("c").alias("d"))), "b", "left").where("c != coalesce(d, b)")
         label = wider(label, confirm(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
         left = stored(open_bands(label), "open")
         if left.limit(1).count():
             label = wider(label, _rest(left, regs, members, percent, kind))
 
     own = with_copies(linkable.select("id", *content), copies, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    placed = spread.joined(own, label.select(F.col("id").alias("rep"), "c"), ["rep"], F.xxhash64("id"), how="left")
+    placed = own.join(_sent(label.select(F.col("id").alias("rep"), "c")), "rep", "left")
     placed = placed.select("id", "n", F.coalesce("c", "rep").alias("c"))
     alone = sketched.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
     return placed.union(alone).select(
