@@ -85,6 +85,18 @@ def pair_features(pairs: DataFrame, described: DataFrame, parity: bool = False)
     return full.select(*pairs.columns, *(v.cast("double").alias(k) for k, v in columns.items()))
 
 
+def selected(df: DataFrame, wanted: list[str], keep: tuple[str, ...] = ("id1", "id2", "label")) -> DataFrame:
+    """The ids, the label and those of the wanted features that the table has, in the order wanted."""
+    return df.select(*(c for c in keep if c in df.columns), *(c for c in dict.fromkeys(wanted) if c in df.columns and c not in keep))
+
+
+def labelled(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Features with the ``label`` of their pair; a table that has one stays as it is, pairs without a label go."""
+    if "label" in features.columns:
+        return features
+    return features.join(pairs.select("id1", "id2", "label"), ["id1", "id2"])
+
+
 def sanitized(df: DataFrame, columns: list[str]) -> DataFrame:
     """NaN and minus infinity as 0, infinity as 1."""
     fix = lambda x: F.when(F.isnan(x) | (x == float("-inf")), 0.0).when(x == float("inf"), 1.0).otherwise(x)

@@ -51,6 +51,12 @@ def folds(df: DataFrame, stratum: str, ids: list[str], k: int = 5, seed: int = 4
     return own.select(*df.columns, ((F.col("rank") - 1) % k).alias("fold"))
 
 
+def quick(train: DataFrame, test: DataFrame, stratum: str, ids: list[str], n: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Small tables for a trial run: ``n`` training rows of each stratum and ``5 n`` test rows."""
+    small = ranked(test.withColumn("_all", F.lit(0)), "_all", ids, seed).where(F.col("rank") <= 5 * n)
+    return subset(train, stratum, ids, n, seed), small.select(*test.columns)
+
+
 def subset(df: DataFrame, stratum: str, ids: list[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows of each stratum, without replacement."""
     return ranked(df, stratum, ids, seed).where(F.col("rank") <= n).select(*df.columns)

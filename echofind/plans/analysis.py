@@ -106,6 +106,16 @@ def one_group_out(df: DataFrame, features: Sequence[str], groups: Sequence[str]
     return without(df, features, [[f for f in features if f.startswith(g)] for g in groups], list(groups), **more)
 
 
+def zeroed_groups(model: Model, test: DataFrame, features: Sequence[str], groups: Sequence[str] = GROUPS) -> DataFrame:
+    """F1 of a fitted model as it is ("full") and with the features of each prefix set to 0, ranked as ablations are."""
+    parts = []
+    for name in ("full", *groups):
+        own = test.withColumns({c: F.lit(0.0) for c in features if name != "full" and c.startswith(name)})
+        cells = metrics.classification(metrics.confusion(models.scored(model, own, features), F.col("label"), F.col("prediction")))
+        parts.append(cells.select(F.lit(name).alias("config"), "f1"))
+    return metrics.ablation(reduce(DataFrame.union, parts), "full")
+
+
 def runtime_ablation(rows: DataFrame, baseline: str) -> DataFrame:
     """Of ``config, seconds``: time saved, share saved and speed-up against the baseline."""
     base = rows.where(F.col("config") == baseline).select(F.col("seconds").alias("base"))

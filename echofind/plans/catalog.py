@@ -512,6 +512,26 @@ def random_subset(spark, sf_dir):
     return splits.subset(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"], 50)
 
 
+@query(
+    f"with {_RANKED.format('o_orderstatus', 'o_orderkey', 'orders')}, t as (select *, row_number() over (order by md5(concat_ws('-', o_orderkey, '42')), o_orderkey) as place from orders)"
+    " select 'train' as part, o_orderkey, o_orderstatus from r where rank <= 20 union all select 'test', o_orderkey, o_orderstatus from t where place <= 100"
+)
+def quick_subset(spark, sf_dir):
+    """The small tables of a trial run; the limit is the feature."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    parts = splits.quick(own, own, "o_orderstatus", ["o_orderkey"], 20)
+    return reduce(DataFrame.union, (df.select(F.lit(name).alias("part"), "*") for name, df in zip(("train", "test"), parts, strict=True)))
+
+
+@query("select l_orderkey as id1, l_linenumber as id2, (o_orderstatus = 'F')::int as label, l_quantity::double as lex_a, l_tax::double as quant_b from lineitem join orders on o_orderkey = l_orderkey where l_linenumber > 1")
+def labelled_features(spark, sf_dir):
+    """A feature table joined with the labels of its pairs and pruned to the selected features."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id1"), F.col("l_linenumber").alias("id2"), *(F.col(c).cast("double").alias(n) for c, n in (("l_quantity", "lex_a"), ("l_discount", "lex_c"), ("l_tax", "quant_b"))))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id1"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    pairs = rows.select("id1", "id2").where("id2 > 1").join(orders, "id1")
+    return pair_features.selected(pair_features.labelled(rows, pairs), ["lex_a", "quant_b", "not_there"])
+
+
 @query("select o_orderstatus, count(*) as n, round(count(*) / (select count(*) from orders), 4) as share from orders group by 1")
 def label_distribution(spark, sf_dir):
     own = table(spark, sf_dir, "orders")
@@ -829,8 +849,7 @@ def model_calibration(spark, sf_dir):
     from . import models
 
     own = quality_features(spark, sf_dir).cache()
-    model = models.fitted(own, QUALITY, "logistic")
-    return models.calibration_report(models.scored(model, own, QUALITY).select("fold", "label", "score"), 3)
+    return models.calibration_report(models.out_of_fold(own, QUALITY, "logistic", 3).select("fold", "label", "score"), 3)
 
 
 @query()

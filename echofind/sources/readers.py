@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -93,8 +95,19 @@ def prerequisites(spark: SparkSession, paths: Iterable[str], columns: Mapping[st
     return found
 
 
-def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """A table written once under ``path``, whose name holds the parameters it was built with."""
-    if not exists(spark, f"{path}/_SUCCESS"):
+def fingerprint(df: DataFrame) -> str:
+    """The number of rows and the sum of the hashes of all rows, in any order."""
+    n = df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*(f"`{c}`" for c in df.columns)).cast("decimal(38, 0)")).alias("sum")).first()
+    return f"{n.rows}-{n.sum or 0}"
+
+
+def cached(spark: SparkSession, path: str, build, params: Mapping[str, object] | None = None, columns: Iterable[str] = ()) -> DataFrame:
+    """A table written once under ``path`` and a digest of ``params``, and anew if it lacks one of ``columns``.
+
+    ``params`` should hold what the table was built with, the ``fingerprint`` of its input among it.
+    """
+    if params is not None:
+        path = f"{path}/{hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()}"
+    if not exists(spark, f"{path}/_SUCCESS") or not set(columns) <= set(spark.read.parquet(path).columns):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from echofind.operators import splits
-from echofind.plans import analysis, catalog, models
+from echofind.operators import normalize, pair_features, splits
+from echofind.plans import analysis, catalog, detection, models
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +55,34 @@ def test_calibration_and_analysis(table):
     assert analysis.one_group_out(table, FEATURES, k=3, trees=3).count() == 4
 
 
+def test_subsets_groups_and_scores_of_other_folds(table):
+    subsets = models.top_subsets(table, FEATURES, (1, 2), trees=5)
+    rows = {(r.n, r.metric): r.value for r in models.scored_subsets(table, subsets, trees=5).collect()}
+    assert {n for n, _ in rows} == {1, 2} and rows[2, "f1"] > 0.8
+    model = models.fitted(table, FEATURES, "logistic")
+    zeroed = {r.config: r for r in analysis.zeroed_groups(model, table, FEATURES).collect()}
+    assert set(zeroed) == {"full", *analysis.GROUPS} and zeroed["full"].delta == 0 and zeroed["lex_"].delta < zeroed["struct_"].delta
+    out = models.out_of_fold(table, FEATURES, "logistic", 3)
+    assert out.count() == table.count()
+    first = models.scored(models.fitted(table.where("fold <> 0"), FEATURES, "logistic"), table.where("fold = 0"), FEATURES)
+    assert {r.id: r.score for r in out.where("fold = 0").collect()} == {r.id: r.score for r in first.collect()}
+
+
+def test_steps_of_the_plan(spark, tmp_path):
+    texts = ["int a = 1 ; return a ;", "int b = 2 ; return b ;", "int a = 1 ;  return a ;", "while ( x ) { y ( ) ; }", None]
+    corpus = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").na.fill("")
+    pairs = spark.createDataFrame([(a, b, 0) for a in range(5) for b in range(a)], "id1 long, id2 long, label int")
+    table = pair_features.pair_features(pairs, pair_features.describe(corpus, normalize.token_records(corpus)))
+    names = [c for c in table.columns if c.startswith("quant_")][:2]
+    model = models.fitted(table.withColumn("label", (table.id1 % 2).cast("int")), names, "logistic")
+    out, steps = detection.staged(pairs, corpus, model, names, f"file://{tmp_path}")
+    rows = {r.step: r.rows for r in steps.collect()}
+    assert list(rows) == ["records", "rules", "candidates", "model", "predictions", "total"]
+    assert rows["records"] == 4 and rows["rules"] == rows["predictions"] == rows["total"] == 10 and rows["model"] <= rows["candidates"] <= 10
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, detection.detected(pairs, corpus, model, names).collect()))
+    assert {(r.id1, r.id2): r.prediction for r in out.collect()}[2, 0] == 1
+
+
 def test_registered_scope(spark, monkeypatch):
     sf_dir, seen = "/root/testdata/sf0.001", {}
 

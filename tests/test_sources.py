@@ -41,6 +41,13 @@ def test_snippets_and_tables(spark, tmp_path):
     for _ in range(2):
         readers.cached(spark, f"file://{tmp_path}/k", lambda: calls.append(1) or df)
     assert calls == [1]
+    mark = readers.fingerprint(df)
+    assert mark == readers.fingerprint(df.repartition(3)) != readers.fingerprint(df.union(df)) and readers.fingerprint(df.limit(0)) == "0-0"
+    for params, columns in (({"h": 48, "input": mark}, ["x"]), ({"input": mark, "h": 48}, ["x"]), ({"h": 64, "input": mark}, ["x"])):
+        readers.cached(spark, f"file://{tmp_path}/k2", lambda: calls.append(2) or df, params, columns)
+    assert calls == [1, 2, 2]
+    readers.cached(spark, f"file://{tmp_path}/k", lambda: calls.append(3) or df.withColumn("y", F.lit(1)), columns=["y"])
+    assert calls == [1, 2, 2, 3]
     assert {(r.bin, r.n) for r in writers.histogram(df, "x", 0, 1, 2).collect()} == {(1, 1)}
 
 
